@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, simhash
+from quarry.llm import bpe, exact_dedup, simhash, token_store
 from quarry.llm.common import table
 
+#: Where the vocabulary files of public tokenizers are.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    return f"{TOKENIZERS}/{name}"
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_bpe, op7_token_store, op8_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
