@@ -41,8 +41,8 @@ def test_files(spark):
         assert r.start == at
         at += r.n_tokens
     assert [r.doc_id for r in got] == [i for i, _ in want]
-    assert sorted(map(tuple, (r.ids for r in got))) == sorted(map(tuple, ids))
-    assert [r.ids for r in got if r.doc_id not in (7,)] == [x for (i, _), x in zip(want, ids, strict=True) if i != 7]
+    # within an identifier the order is that of a hash
+    assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(((i, x) for (i, _), x in zip(want, ids, strict=True)), key=str)
     digest = {(r.start, r.ids_crc32) for r in S.read_documents(manifest, digest=True).collect()}
     assert digest == {(r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got}
 
