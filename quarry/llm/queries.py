@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_dedup, simhash, token_store
+from quarry.llm import bpe, exact_dedup, simhash, token_store, toxicity
 from quarry.llm.common import table
 
 #: Where the vocabulary files of public tokenizers are.
@@ -21,6 +21,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -33,7 +38,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_bpe, op7_token_store, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op6_bpe, op7_token_store, op8_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
