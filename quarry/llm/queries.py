@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_dedup, simhash, token_store, toxicity
+from quarry.llm import bpe, chat, decontaminate, exact_dedup, simhash, token_store, toxicity, url_filter
 from quarry.llm.common import table
 
 #: Where the vocabulary files of public tokenizers are.
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -38,11 +42,38 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op6_bpe, op7_token_store, op8_simhash)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_url_rules, op6_bpe, op7_token_store, op8_simhash, op9_decontaminate, op10_chat)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op3_url_rules": r"""
+        WITH rules(action, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                                              ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+        parsed AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        each AS (SELECT page_id, host, path, action, rh || rp AS rule,
+                        row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST, length(rh) DESC, action DESC) AS k
+                 FROM parsed LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM each WHERE k = 1""",
+    "op10_chat": r"""
+        WITH placed AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations),
+        whole AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY n) AS turns FROM placed GROUP BY conv_id),
+        once AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS copies FROM whole GROUP BY turns),
+        inner_prefixes AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM once)),
+        maximal AS (SELECT * FROM once WHERE turns NOT IN (SELECT turns FROM inner_prefixes))
+        SELECT conv_id, CAST(0 AS INTEGER) AS part, len(turns) AS n_turns, copies,
+               list_aggregate(list_transform(turns, lambda t: '<|im_start|>' || coalesce(t.role, 'user') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
+        FROM maximal""",
 }
