@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts of these characters alone (ASCII and Latin letters) are split by ``Split``, many at a time. Beyond ASCII all are letters.
+OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ɏ]")
+SPACE, LETTER, DIGIT, MARK, END = range(5)
+CLASS = np.array([END if b == 0 else LETTER if b > 127 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else SPACE if chr(b).isspace() else MARK for b in range(256)], np.uint8)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 #: Where the letters and digits of the regex and tokenizers libraries agree, whatever Unicode version either has. A text with
 #: any other character is split by the tokenizers library.
 AGREED = re.compile("[^\0-\u052f\u2000-\u206f\u3000-\u9fff\uac00-\ud7a3]")
@@ -42,28 +49,81 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers. Two generations of at most ``most`` pieces are remembered."""
+def packed(ids: list[int]) -> bytes:
+    """As little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            found = self.encode(piece)
-        if len(piece) <= LONG:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
+#: A blank between two characters that are neither white space nor part of an added token's string.
+CUT = re.compile(r"(?<=\w) (?=\w)")
+
+
+class Split:
+    """The pieces of several texts of no characters that OTHER finds, by whole-array operations on their bytes.
+
+    A run of letters, digits or marks is a piece, with the blank before it. White space before it is a piece up to its last
+    character, and that one another unless it is the blank; at a text's end it is one piece. An apostrophe that no blank or mark
+    precedes takes s, t, m, d, re, ve or ll with it.
+    """
+
+    up = down = np.ones(1, np.uint64)
+
+    def __init__(self, texts: list[str]):
+        raw = "\0".join(texts).encode() + b"\0"  # no text has the character
+        b = np.frombuffer(raw, np.uint8)
+        kind = CLASS[b]
+        first = np.ones(len(b), bool)
+        first[1:] = kind[1:] != kind[:-1]
+        first |= kind == END
+        blank = b == 32
+        start = first.copy()
+        start[1:] &= ~(blank[:-1] & (kind[1:] != END))
+        start[1:-1] |= (kind[1:-1] == SPACE) & (kind[2:] != SPACE) & (kind[2:] != END)  # the last of a run before something
+        if len(b) > 1 and kind[0] == SPACE:
+            start[0] = True
+        at = np.flatnonzero((b[:-1] == 39) & start[:-1] & (kind[1:] == LETTER)) if 39 in b else ()
+        for i in at:
+            k = 1 if raw[i + 1] in b"stmd" else 2 if raw[i + 1 : i + 3] in (b"re", b"ve", b"ll") else 0
+            if k:
+                start[i + 1], start[i + 1 + k] = False, True
+        edge = np.flatnonzero(start)
+        self.raw, own = raw, kind[edge] != END
+        self.start, self.end = edge[own], np.append(edge[1:], len(b))[own]
+        #: how many pieces come before each text's end
+        self.texts = np.cumsum(own)[~own]
+        if len(self.up) < len(b) + 1:
+            n = len(b) + 1 + (1 << 16)
+            Split.up = np.concatenate([[np.uint64(1)], np.full(n, BASE)]).cumprod(dtype=np.uint64)
+            Split.down = np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]).cumprod(dtype=np.uint64)
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.up[: len(b)] * b, out=total[1:])
+        h = (total[self.end] - total[self.start]) * self.down[self.start]
+        _, at, self.which = np.unique(h ^ h >> np.uint64(29) ^ (self.end - self.start).astype(np.uint64) << np.uint64(50), return_index=True, return_inverse=True)
+        #: the different pieces; which: of these, the one that stands in each place
+        self.pieces = [raw[i:j] for i, j in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+
+    def put(self, ids: list[bytes]) -> list[bytes]:
+        """The texts' ids from those of ``pieces``."""
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) for x in ids], np.int64) // 4
+        n = size[self.which]
+        after = np.cumsum(n)
+        out = flat[np.repeat((np.cumsum(size) - size)[self.which] - after + n, n) + np.arange(after[-1] if len(after) else 0)].tobytes()
+        edges = [0, *(np.append(0, after)[self.texts] * 4).tolist()]
+        return [out[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+
+
+def cut_up(text: str, room: int) -> Iterator[str]:
+    at = 0
+    while len(text) - at > room and (m := CUT.search(text, at + room)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 class Codec:
-    def __init__(self, source: str, remembered: int = 150_000):
-        """source: the text of a tokenizers file with a byte-level BPE model."""
+    def __init__(self, source: str, remembered: int = 350_000):
+        """source: the text of a tokenizers file with a byte-level BPE model. Of pieces that were met, about ``remembered`` are kept
+        with their ids in each of two generations."""
         spec = json.loads(source)
         model, self.source = spec["model"], source
         if model["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
@@ -82,7 +142,7 @@ class Codec:
             self.parts.append((vocab[a], vocab[b], vocab[a + b]))
         self.pattern = regex.compile(PATTERN)
         self.special = re.compile("|".join(re.escape(s) for s in sorted(added, key=len, reverse=True))) if added else None
-        self.pieces = Pieces(lambda p: np.array(self.merge(p.encode("utf-8", "surrogatepass")), "<u4").tobytes(), remembered)
+        self.remembered, self.known, self.older = remembered, {}, {}
         self._split = None
 
     def merge(self, piece: bytes) -> list[int]:
@@ -119,16 +179,67 @@ class Codec:
             self._split = Tokenizer.from_str(self.source).pre_tokenizer
         return [text[a:b] for _, (a, b) in self._split.pre_tokenize_str(text)]
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        return [packed(self.merge(p)) for p in pieces]
+
+    def look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of different pieces."""
+        if len(self.known) > self.remembered:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = list(map(known.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in missing:
+            if (x := older.get(pieces[i])) is None:
+                new.append(i)
+            else:
+                found[i] = known[pieces[i]] = x
+        for i, x in zip(new, self.encode_pieces([pieces[i] for i in new]), strict=True):
+            found[i] = x
+            if len(pieces[i]) <= LONG:
+                known[pieces[i]] = x
+        return found
+
+    def encode_all(self, texts: list[str], room: int = 1 << 22) -> list[bytes]:
+        """Of each text, its ids as little-endian unsigned 32-bit integers. The strings of added tokens in a text are those tokens.
+        About ``room`` characters are worked on at a time; a longer text is cut before single blanks, where pieces begin anyway."""
+        out, group, size = [], [], 0
+        for t in texts:
+            if len(t) > room:
+                out += [*self._group(group), b"".join(x for part in cut_up(t, room) for x in self._group([part]))]
+                group, size = [], 0
+                continue
+            if size + len(t) > room:
+                out += self._group(group)
+                group, size = [], 0
+            group.append(t)
+            size += len(t)
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        out: list = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if not OTHER.search(t) and not (self.special and self.special.search(t))]
+        if plain:
+            s = Split([texts[i] for i in plain])
+            for i, x in zip(plain, s.put(self.look_up(s.pieces)), strict=True):
+                out[i] = x
+        for i in sorted({*range(len(texts))} - {*plain}):
+            parts, at = [], 0
+            for m in self.special.finditer(texts[i]) if self.special else ():
+                parts += [self._some(texts[i][at : m.start()]), self.added[m[0]].to_bytes(4, "little")]
+                at = m.end()
+            out[i] = b"".join([*parts, self._some(texts[i][at:])])
+        return out
+
+    def _some(self, text: str) -> bytes:
+        parts = [p.encode("utf-8", "surrogatepass") for p in self.split(text)]
+        each = list(dict.fromkeys(parts))
+        ids = dict(zip(each, self.look_up(each), strict=True))
+        return b"".join(map(ids.__getitem__, parts))
+
     def encode_bytes(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. The strings of added tokens in a text are those tokens."""
-        if self.special is None or not (found := list(self.special.finditer(text))):
-            return b"".join(map(self.pieces.__getitem__, self.split(text)))
-        out, at = [], 0
-        for m in found:
-            out += map(self.pieces.__getitem__, self.split(text[at : m.start()]))
-            out.append(self.added[m[0]].to_bytes(4, "little"))
-            at = m.end()
-        return b"".join([*out, *map(self.pieces.__getitem__, self.split(text[at:]))])
+        return self.encode_all([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
@@ -179,9 +290,9 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, ids: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(source.value)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                raw = [c.encode_bytes(t or "") for t in part.column(1).to_pylist()]
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                raw = c.encode_all([t or "" for t in part.column(1).to_pylist()])
                 n, a, d = zip(*(_digest(x, c) for x in raw), strict=True)
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

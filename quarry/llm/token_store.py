@@ -1,6 +1,6 @@
 """Token ids in files of directly addressable codes.
 
-An id is split into chunks, the low bits first: chunk widths 12, 4, 8, 8 here.
+An id is split into chunks, the low bits first: a byte each here.
 Level 0 has the first chunk of every id; a bitmap says which ids continue, and
 level k holds the k-th chunk of those that reach it, in order. A rank directory
 (ones before every 512-bit block of the bitmap) gives an id's place on the next
@@ -31,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import Codec, Pieces, vocabulary
+from quarry.llm.bpe import Codec, packed, vocabulary
 from quarry.llm.common import cut, new_folder, shuffle_parts
 
-MAGIC, VERSION, WIDTHS, BLOCK = b"DACF", 1, (12, 4, 8, 8), 512
+MAGIC, VERSION, WIDTHS, BLOCK = b"DACF", 1, (8, 8, 8, 8), 512
 MANIFEST = "part int, no int, path string, documents long, ids long"
 
 
 def pack(codes: np.ndarray, width: int, step: int = 1 << 17) -> bytes:
     """step codes at a time: a multiple of eight, so each part ends on a byte."""
+    if width == 8:
+        return codes.astype(np.uint8).tobytes()
     out = []
     for at in range(0, len(codes), step):
         part = codes[at : at + step].astype("<u4")
@@ -50,6 +52,8 @@ def pack(codes: np.ndarray, width: int, step: int = 1 << 17) -> bytes:
 
 def unpack(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     """Codes at any places. packed has eight bytes to spare."""
+    if width == 8:
+        return packed[at].astype(np.int64)
     bit = at * width
     byte = bit >> 3
     v = np.zeros(len(at), np.uint64)
@@ -61,12 +65,12 @@ def unpack(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
 def dump(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, widths=WIDTHS) -> bytes:
     """A file of these documents; ids are theirs one after the other."""
     out = io.BytesIO()
-    levels, rest, shift = [], ids.astype(np.uint64), 0
+    levels, rest = [], ids.astype(np.uint32)
     for k, w in enumerate(widths):
-        more = rest >> np.uint64(w)
+        more = rest >> w if w < 32 else np.zeros_like(rest)
         go_on = more > 0 if k + 1 < len(widths) else np.zeros(len(rest), bool)
-        levels.append((w, (rest & np.uint64((1 << w) - 1)).astype(np.uint32), go_on))
-        rest, shift = more[go_on], shift + w
+        levels.append((w, rest & np.uint32((1 << w) - 1), go_on))
+        rest = more[go_on]
         if not len(rest):
             break
     out.write(struct.pack("<4sHHQQ", MAGIC, VERSION, len(levels), len(doc_ids), len(ids)))
@@ -142,18 +146,29 @@ class Reader:
         """The ids from start to end: one rank a level, then the bitmap's own order."""
         if not 0 <= start <= end <= self.n_ids:
             raise IndexError("no such tokens")
-        out, which, shift = np.zeros(end - start, np.int64), np.arange(end - start), 0
+        out, which, shift = np.zeros(end - start, np.int64), None, 0
         for k, (width, packed, bits, _) in enumerate(self.levels):
-            at = np.arange(start, end)
-            if not len(at):
+            if start == end:
                 break
-            out[which] |= unpack(packed, width, at) << shift
-            on = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            start = int(self.rank(k, np.array([start]))[0]) if on.any() else 0
-            which, shift = which[on], shift + width
-            end = start + len(which)
+            codes = packed[start:end] if width == 8 else unpack(packed, width, np.arange(start, end))
+            if which is None:
+                out |= codes
+            else:
+                out[which] |= codes.astype(np.int64) << shift
+            on = np.flatnonzero(np.unpackbits(bits[start >> 3 : (end + 7) >> 3], bitorder="little")[start & 7 : (start & 7) + end - start])
+            start = int(self.rank(k, np.array([start]))[0]) if len(on) else 0
+            which, shift, end = on if which is None else which[on], shift + width, start + len(on)
         return out
 
+    def documents(self, ids: int = 1 << 16) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """All documents in order, as (number of the first, their ids), read so many ids at a time or a longer document alone."""
+        ends, at = np.append(self.first[1:], self.n_ids), 0
+        while at < self.n_docs:
+            start = int(self.first[at])
+            to = max(at + 1, int(np.searchsorted(ends, start + ids, "right")))
+            yield at, np.split(self.slice(start, int(ends[to - 1])), self.first[at + 1 : to] - start)
+            at = to
+
     def document(self, k: int) -> np.ndarray:
         return self.slice(int(self.first[k]), int(self.first[k + 1]) if k + 1 < self.n_docs else self.n_ids)
 
@@ -178,22 +193,37 @@ def _get(path: str) -> bytes:
         return f.read()
 
 
-def library_codec(source: str, remembered: int = 150_000) -> Codec:
+class LibraryCodec(Codec):
     """A codec whose pieces are encoded by the tokenizers library."""
-    from tokenizers import Tokenizer
 
-    c = Codec(source)
-    t = Tokenizer.from_str(source)
-    t.no_truncation()
-    t.no_padding()
-    c.pieces = Pieces(lambda p: np.array(t.encode(p, add_special_tokens=False).ids, "<u4").tobytes(), remembered)
-    return c
+    def __init__(self, source: str, remembered: int = 350_000):
+        from tokenizers import Tokenizer
+
+        super().__init__(source, remembered)
+        self.library = Tokenizer.from_str(source)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def encode_pieces(self, pieces: list[bytes], together: int = 200) -> list[bytes]:
+        """Most pieces are a blank and letters. One after the other they are a text that splits into just these pieces, so one call
+        encodes many; if the library should split it otherwise, they are encoded one by one."""
+        found = {}
+        words = [p for p in pieces if p[0] == 32 and p[1:].isalpha()]  # of ASCII letters
+        for at in range(0, len(words), together):
+            part = words[at : at + together]
+            e = self.library.encode(b"".join(part).decode(), add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            ends = (np.flatnonzero(np.diff(np.array(e.word_ids))) + 1) * 4
+            if len(ends) + 1 == len(part):
+                edges = [0, *ends.tolist(), len(raw)]
+                found.update(zip(part, (raw[i:j] for i, j in zip(edges, edges[1:], strict=False)), strict=True))
+        return [found[p] if p in found else packed(self.library.encode(p.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids) for p in pieces]
 
 
 _codecs: dict[str, Codec] = {}
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, most_ids: int = 1 << 21) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, most_ids: int = 1 << 20) -> DataFrame:
     """Encodes docs and writes their ids to files in folder, in ascending doc_id order. Returns the manifest: part, no, path,
     documents, ids, start (ids in the files before it), which is also in folder/manifest.
 
@@ -208,7 +238,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if source.value not in _codecs:
             _codecs.clear()
-            _codecs[source.value] = library_codec(source.value)
+            _codecs[source.value] = LibraryCodec(source.value)
         c = _codecs[source.value]
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         ids, raw, size, no = [], [], 0, 0
@@ -221,13 +251,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
         part = 0
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                raw.append(c.encode_bytes(t or "") + end)
-                size += len(raw[-1]) // 4
-                if size >= most_ids:
-                    yield flush()
-                    ids, raw, size, no = [], [], 0, no + 1
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                for i, x in zip(some.column(0).to_pylist(), c.encode_all([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                    ids.append(i)
+                    raw.append(x + end)
+                    size += len(raw[-1]) // 4
+                    if size >= most_ids:
+                        yield flush()
+                        ids, raw, size, no = [], [], 0, no + 1
         if ids:
             yield flush()
 
@@ -249,11 +281,11 @@ def read_documents(manifest: DataFrame, digest: bool = False) -> DataFrame:
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 r = Reader(_get(path))
-                for at in range(0, r.n_docs, 1000):
-                    docs = [r.document(k) for k in range(at, min(at + 1000, r.n_docs))]
+                for at, docs in r.documents():
+                    to = at + len(docs)
                     last = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in docs], pa.int64()) if digest else pa.array(docs, pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(r.doc_ids[at : at + 1000], pa.int64()), pa.array(r.first[at : at + 1000] + start), pa.array([len(x) for x in docs], pa.int64()), last],
+                        [pa.array(r.doc_ids[at:to], pa.int64()), pa.array(r.first[at:to] + start), pa.array([len(x) for x in docs], pa.int64()), last],
                         ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                     )
 

@@ -33,6 +33,28 @@ def test_as_the_library(lib, codec):
         assert codec.decode(cut) == lib.decode(cut, skip_special_tokens=False)
 
 
+LATIN = [" ", " ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "'v", "a", "The", "é", "ß", "7", "00", "!", "_", "%%%", "s", "\r\n"]
+
+
+def test_split_of_many_texts(lib):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(LATIN, k=rng.randrange(12))) for _ in range(20_000)] + ["", " ", "\n\n", "'", "'s", "x's", " 's", "!'s", "''s", "'ll", "'l"]
+    s = bpe.Split(texts)
+    got, at = [], 0
+    for end in s.texts.tolist():
+        got.append([s.pieces[k].decode() for k in s.which[at:end]])
+        at = end
+    pre = lib.pre_tokenizer
+    assert got == [[t[a:b] for _, (a, b) in pre.pre_tokenize_str(t)] for t in texts]
+
+
+def test_long_texts_are_cut_where_pieces_begin(lib, codec):
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choices([*LATIN, "<|endoftext|>", "漢", "a b"], k=60))
+        assert codec.encode_all([t, "x y", t], room=9)[0] == bpe.packed(lib.encode(t, add_special_tokens=False).ids), t
+
+
 def test_long_piece_without_breaks(lib, codec):
     for t in ("a" * 20_000, "ab" * 5000, "=" * 9000, " " * 7000 + "x", "é" * 3000):
         assert codec.encode(t) == lib.encode(t, add_special_tokens=False).ids

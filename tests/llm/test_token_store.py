@@ -49,3 +49,12 @@ def test_files(spark):
 
 def test_empty(spark):
     assert S.stored(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_any_widths():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.integers(0, 2**32, 700), rng.integers(0, 5000, 900)]).astype(np.uint64)
+    for widths in ((12, 4, 8, 8), (16, 16), (5, 9, 18), (32,)):
+        r = S.Reader(S.dump([1, 2], np.array([700, 900]), ids, widths))
+        assert r.get(np.arange(len(ids))[::-1]).tolist() == ids[::-1].tolist()
+        assert [x.tolist() for _, d in r.documents(50) for x in d] == [ids[:700].tolist(), ids[700:].tolist()]
