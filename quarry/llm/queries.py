@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, decontaminate, exact_dedup, simhash, token_store, toxicity, url_filter
+from quarry.llm import bpe, chat, decontaminate, exact_dedup, html_text, secrets, simhash, token_store, toxicity, url_filter
 from quarry.llm.common import table
 
 #: Where the vocabulary files of public tokenizers are.
@@ -30,6 +30,14 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -50,7 +58,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_url_rules, op6_bpe, op7_token_store, op8_simhash, op9_decontaminate, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_url_rules, op4_secrets, op5_html_text, op6_bpe, op7_token_store, op8_simhash, op9_decontaminate, op10_chat)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
