@@ -23,9 +23,8 @@ def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of linked fingerprints the row with the smallest doc_id stays. Shingles of five words; fingerprints within three
-    bits of 64 stand for texts of which well over 0.8 of the shingles agree."""
-    return simhash.deduplicated(docs, words=5)
+    """Operator 8, with its own shingles and threshold: of linked fingerprints the row with the smallest doc_id stays."""
+    return simhash.deduplicated(docs)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
