@@ -121,7 +121,7 @@ def cut_up(text: str, room: int) -> Iterator[str]:
 
 
 class Codec:
-    def __init__(self, source: str, remembered: int = 350_000):
+    def __init__(self, source: str, remembered: int = 250_000):
         """source: the text of a tokenizers file with a byte-level BPE model. Of pieces that were met, about ``remembered`` are kept
         with their ids in each of two generations."""
         spec = json.loads(source)
@@ -201,7 +201,7 @@ class Codec:
                 known[pieces[i]] = x
         return found
 
-    def encode_all(self, texts: list[str], room: int = 1 << 22) -> list[bytes]:
+    def encode_all(self, texts: list[str], room: int = 1 << 20) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers. The strings of added tokens in a text are those tokens.
         About ``room`` characters are worked on at a time; a longer text is cut before single blanks, where pieces begin anyway."""
         out, group, size = [], [], 0

@@ -196,7 +196,7 @@ def _get(path: str) -> bytes:
 class LibraryCodec(Codec):
     """A codec whose pieces are encoded by the tokenizers library."""
 
-    def __init__(self, source: str, remembered: int = 350_000):
+    def __init__(self, source: str, remembered: int = 250_000):
         from tokenizers import Tokenizer
 
         super().__init__(source, remembered)

@@ -98,7 +98,7 @@ class Texts:
     lang: np.ndarray
 
 
-def read(texts: list[str | None], buckets: int, room: int = 1 << 20, overlap: int = 0) -> Iterator[tuple[int, int, Texts]]:
+def read(texts: list[str | None], buckets: int, room: int = 1 << 19, overlap: int = 0) -> Iterator[tuple[int, int, Texts]]:
     """Of texts in order, as many at a time as have room bytes together; a longer text comes alone, in stretches of so many
     bytes. Each stretch ends in ``overlap`` words without features, and a text's stretches share as many words."""
     low = [(t or "").lower().encode("utf-8", "replace") for t in texts]
