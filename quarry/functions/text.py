@@ -190,12 +190,16 @@ FILE_ROLES = (
 IMPORT_ROLES = (("repository", ("orm", "prisma", "typeorm", "sqlalchemy", "diesel")), ("controller", ("express", "fastapi", "actix", "axum", "gin")), ("test", ("jest", "pytest", "mocha")))
 
 
+def _has(names):
+    return lambda x: any_of(F.lower(x), names)
+
+
 def file_role(path, imports=None) -> Column:
     p = F.lower(_c(path))
     out = reduce(lambda w, r: w.when(any_of(p, r[1]), r[0]), FILE_ROLES[1:], F.when(any_of(p, FILE_ROLES[0][1]), FILE_ROLES[0][0]))
     if imports is not None:
         for role, names in IMPORT_ROLES:
-            out = out.when(F.exists(_c(imports), lambda i, names=names: any_of(F.lower(i), names)), role)
+            out = out.when(F.exists(_c(imports), _has(names)), role)
     return out.otherwise("unknown")
 
 

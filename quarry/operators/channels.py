@@ -78,7 +78,7 @@ def exact(chunks: DataFrame, queries: DataFrame, text: str = "content", most_que
         return c.join(F.broadcast(q), hit).select("query_id", "chunk_id", F.lit(1.0).alias("score"))
     runs = F.regexp_extract_all("q", F.lit(r"([\p{L}\p{N}_]+)"), 1)
     inner = F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0)))  # the first and last word may be parts of longer ones
-    keyed = q.withColumn("key", F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"])
+    keyed = q.withColumn("key", F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"])
     words = c.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("key"))
     pairs = words.join(keyed.where("key is not null"), "key").select("query_id", "chunk_id", "q")
     some = pairs.join(c, "chunk_id").where(hit)

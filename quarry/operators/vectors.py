@@ -44,6 +44,10 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select("vec_id", F.col("cid").alias("other")), "vec_id").agg(F.avg((F.col("cid") == F.col("other")).cast("double")).alias("agreement"), F.count("*").alias("n"))
 
 
+def _times(w: float):
+    return lambda x: x * w
+
+
 def mix(tokens: DataFrame, weights: list[float]) -> DataFrame:
     """(chunk_id, pos, vector): each token's vector as the weighted sum of the five around it, of length one. A missing neighbour
     counts as nought."""
@@ -53,7 +57,7 @@ def mix(tokens: DataFrame, weights: list[float]) -> DataFrame:
     x = tokens.select("chunk_id", "pos", "vector", *(n.alias(f"n{i}") for i, n in enumerate(near)))
     total = F.transform("n0", lambda v: v * weights[0])
     for i in range(1, 5):
-        total = F.zip_with(total, F.col(f"n{i}"), lambda a, b, i=i: a + b * weights[i])
+        total = F.zip_with(total, F.transform(f"n{i}", _times(weights[i])), lambda a, b: a + b)
     return x.select("chunk_id", "pos", N.normalized(total).alias("vector"))
 
 
