@@ -214,8 +214,11 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 3, slice_rows: int =
         raise ValueError("the code's tables reach up to three bits")
     full = distinct.groupBy(F.col("home").alias("anchor")).count().where(F.col("count") > slice_rows).select("anchor", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
     visit = distinct.select("fp").mapInArrow(_replicate(threshold), "anchor int, fp long")
-    visit = visit.join(full, "anchor", "left").select("anchor", "fp", F.coalesce("slices", F.lit(1)).alias("slices"))
-    visit = visit.select("anchor", "fp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "slices")
+    if full.isEmpty():
+        visit = visit.select("anchor", "fp", F.lit(0).alias("slice"), F.lit(1).alias("slices"))
+    else:
+        visit = visit.join(full, "anchor", "left").select("anchor", "fp", F.coalesce("slices", F.lit(1)).alias("slices"))
+        visit = visit.select("anchor", "fp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "slices")
     dealt = visit.repartition(shuffle_parts(distinct.sparkSession), "anchor", "slice").sortWithinPartitions("anchor", "slice")
     return dealt.select("anchor", "fp", "slice", "slices").mapInArrow(_compare(threshold), "a long, b long")
 
