@@ -231,3 +231,41 @@ def formatted(results: DataFrame, budget: int = 12_000) -> DataFrame:
     x = results.withColumn("line", line).withColumn("bytes", F.octet_length("line").cast("long"))
     x = cut.byte_budget(x, "bytes", budget)
     return x.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "").alias("text"))
+
+
+def search_with_draft(index: Index, query: str, write: Callable[[str], str], spec: SearchSpec = SearchSpec()) -> DataFrame:
+    """What the query finds, and what a text written in answer to it finds, each chunk once. A draft that can't be written leaves the query's own."""
+    base = multi_search(index, {0: query}, spec)
+    try:
+        draft = write(query)
+    except Exception:  # whatever the writer raises
+        return C.top_k(base.select("query_id", "chunk_id", "score"), spec.max_results)
+    return merge_first(base, multi_search(index, {0: draft}, spec), spec.max_results)
+
+
+def plan(steps: list[tuple[str, str]], run: Callable[[str, str], str], seconds: float = 10.0, most: int = 5) -> list[tuple[str, str]]:
+    """(step, outcome) of at most ``most`` steps (name, query) while time is left; a step that fails says why."""
+    import time
+
+    end, out = time.monotonic() + seconds, []
+    for name, query in steps[:most]:
+        if time.monotonic() >= end:
+            out.append((name, "skipped: out of time"))
+            continue
+        try:
+            out.append((name, run(name, query)))
+        except Exception as e:  # a step's failure is its outcome
+            out.append((name, f"failed: {e}"))
+    return out
+
+
+def adaptive_walk(symbols: DataFrame, edges: DataFrame, chunks: DataFrame, few: int = 5, many: int = 50) -> tuple[str, DataFrame]:
+    """A symbol's neighbours: with a second hop if there are few of them, by folder if there are many."""
+    near = graph.walk(symbols, edges, 200)
+    n = near.count()
+    if n < few:
+        more = near.select("symbol", "chunk_id").distinct()
+        return "two hops", near.unionByName(graph.walk(more, edges, 20)).dropDuplicates(["symbol", "relation", "chunk_id"])
+    if n > many:
+        return "by folder", relational.per_directory(near.join(chunks.select("chunk_id", "file_path"), "chunk_id").select(F.col("relation").alias("group"), "file_path"))
+    return "one hop", near

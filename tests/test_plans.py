@@ -173,3 +173,73 @@ def test_notes_and_maintenance(spark):
     assert {(r.path, r["hash"]) for r in maintain.upsert(old, fresh, ch).collect()} == {("a", 1), ("b", 2), ("d", 1)}
     meta = spark.createDataFrame([(schemas.VERSION, "f", 1, 1)], schemas.TABLES["meta"])
     assert [schemas.check_version(m, f) for m, f in ((meta, "f"), (meta, "g"), (meta.limit(0), "f"))] == ["ready", "stale", "not_indexed"]
+
+
+def test_drafts_plans_and_walks(index, spark):
+    got = P.search_with_draft(index, "login", lambda q: "cache items", P.SearchSpec(max_results=10, graph=False)).collect()
+    assert len(got) == len({r.chunk_id for r in got}) > 3
+
+    def broken(q):
+        raise RuntimeError("no writer")
+
+    assert P.search_with_draft(index, "login", broken, P.SearchSpec(graph=False)).count() > 0
+    assert P.plan([("a", "x"), ("b", "y")], lambda n, q: q if n == "a" else broken(q)) == [("a", "x"), ("b", "failed: no writer")]
+    assert P.plan([("a", "x")], lambda n, q: q, seconds=0) == [("a", "skipped: out of time")]
+    sym = index.chunks.where("name = 'make_token'").select(F.lit("make_token").alias("symbol"), "chunk_id")
+    kind, near = P.adaptive_walk(sym, index.edges, index.chunks)
+    assert kind == "two hops" and near.count() >= 2
+
+
+def test_vector_store(spark, tmp_path):
+    from quarry.operators import store
+
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(80)], "chunk_id long, vector array<double>")
+    s = store.VectorStore(spark, str(tmp_path), "v1")
+    s.append(v.where("chunk_id < 50"))
+    s.append(v.where("chunk_id >= 50"))
+    s.delete(v.where("chunk_id % 10 = 0"))
+    s.publish()
+    t = store.VectorStore.active(spark, str(tmp_path))
+    assert t.version == "v1" and t.rows().count() == 72
+    q = v.where("chunk_id in (3, 10)").select(F.col("chunk_id").alias("query_id"), "vector")
+    want = channels.dense(v.where("chunk_id % 10 <> 0"), q, 3)
+    assert {(r.query_id, r.chunk_id) for r in t.two_stage(q, 3, 8).collect()} == {(r.query_id, r.chunk_id) for r in want.collect()}
+    cache = v.where("chunk_id < 5").select(F.col("chunk_id").alias("cached_id"), "vector", F.lit("s").alias("stamp"))
+    assert [(r.query_id, r.cached_id) for r in store.semantic_cache(cache, q, "s").collect()] == [(3, 3)] and store.semantic_cache(cache, q, "other").count() == 0
+
+
+def test_mixer(spark):
+    from quarry.operators import store
+
+    rng = np.random.default_rng(2)
+    true = [0.1, 0.2, 1.0, -0.3, 0.05]
+    x = rng.standard_normal((30, 4))
+    pad = np.vstack([np.zeros((2, 4)), x, np.zeros((2, 4))])
+    y = sum(w * pad[k : k + 30] for k, w in enumerate(true))
+    t = spark.createDataFrame([(1, p, x[p].tolist(), y[p].tolist()) for p in range(30)], "chunk_id long, pos int, vector array<double>, target array<double>")
+    assert store.fit_mix_weights(t) == pytest.approx(true)
+    w = spark.createDataFrame([(1, 0, rng.standard_normal((9, 4)).tolist())], "chunk_id long, pos int, window array<array<double>>")
+    got = store.mixer_forward(w, np.zeros((9, 4)), np.eye(4)).first().vector
+    c = np.array(w.first().window[4])
+    assert got == pytest.approx((c / np.linalg.norm(c)).tolist())
+
+
+def test_evaluation_sets(spark):
+    from quarry.operators import evaluate as E
+
+    rows = spark.createDataFrame([(1, "code a", "does a"), (2, "code b", " "), (3, None, "x")], "k long, code string, doc string")
+    d, q, g = E.corpus_from_rows(rows, "code", "doc", "k")
+    assert [r.item for r in d.collect()] == ["d1"] and [tuple(r) for r in g.collect()] == [("q1", "d1")] and q.count() == 1
+    corpus = spark.createDataFrame([("c1", "t")], "_id string, text string")
+    queries = spark.createDataFrame([("q1", "x"), ("q2", "y")], "_id string, text string")
+    rel = spark.createDataFrame([("q1", "c1", 1), ("q2", "c9", 1), ("q2", "c1", 0)], "`query-id` string, `corpus-id` string, score int")
+    assert [r.query_id for r in E.corpus_from_splits(corpus, queries, rel)[1].collect()] == ["q1"]
+    assert E.select_queries(q.unionByName(q.withColumn("query_id", F.lit("z"))), 1, 5).collect() == E.select_queries(q.unionByName(q.withColumn("query_id", F.lit("z"))).repartition(4), 1, 5).collect()
+    chunks = spark.createDataFrame([("a", "foo bar\nfoo\nx"), ("b", "bar\nbar bar")], "file_path string, content string")
+    kw = spark.createDataFrame([(1, "foo"), (1, "bar")], "query_id long, word string")
+    assert [(r.file_path, r.hits, r["rank"]) for r in E.keyword_ranking(chunks, kw).orderBy("rank").collect()] == [("a", 2, 1), ("b", 2, 2)]
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 3)], "query_id long, item string, rank int")
+    assert [(r.item, r["rank"]) for r in E.dedup_ranked(ranked).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+    turns = spark.createDataFrame([("r", 1, 2, 3, ["x", "y"]), ("r", 1, 0, 0, ["x"])], "run string, input_tokens long, cache_creation long, cache_read long, tool_calls array<string>")
+    assert E.context_burden(turns, "run").first().burden == 7 and {(r.tool, r.n) for r in E.tool_distribution(turns, "run").collect()} == {("x", 2), ("y", 1)}
