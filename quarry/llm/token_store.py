@@ -21,6 +21,7 @@ its file's first position plus its own in the file.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +36,8 @@ from quarry.llm.bpe import Codec, packed, vocabulary
 from quarry.llm.common import cut, new_folder, shuffle_parts
 
 MAGIC, VERSION, WIDTHS, BLOCK = b"DACF", 1, (8, 8, 8, 8), 512
+#: Pieces of ASCII and Latin letters, in UTF-8.
+LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 MANIFEST = "part int, no int, path string, documents long, ids long"
 
 
@@ -196,7 +199,7 @@ def _get(path: str) -> bytes:
 class LibraryCodec(Codec):
     """A codec whose pieces are encoded by the tokenizers library."""
 
-    def __init__(self, source: str, remembered: int = 250_000):
+    def __init__(self, source: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__(source, remembered)
@@ -205,18 +208,22 @@ class LibraryCodec(Codec):
         self.library.no_padding()
 
     def encode_pieces(self, pieces: list[bytes], together: int = 200) -> list[bytes]:
-        """Most pieces are a blank and letters. One after the other they are a text that splits into just these pieces, so one call
-        encodes many; if the library should split it otherwise, they are encoded one by one."""
-        found = {}
-        words = [p for p in pieces if p[0] == 32 and p[1:].isalpha()]  # of ASCII letters
-        for at in range(0, len(words), together):
-            part = words[at : at + together]
-            e = self.library.encode(b"".join(part).decode(), add_special_tokens=False)
-            raw = np.array(e.ids, "<u4").tobytes()
-            ends = (np.flatnonzero(np.diff(np.array(e.word_ids))) + 1) * 4
-            if len(ends) + 1 == len(part):
-                edges = [0, *ends.tolist(), len(raw)]
-                found.update(zip(part, (raw[i:j] for i, j in zip(edges, edges[1:], strict=False)), strict=True))
+        """Most pieces are letters, with a blank before them or at a line's start. Those with a blank, one after the other, are a text
+        that splits into just these pieces, and so are the others with line feeds between them; so one call encodes many. If the
+        library should split them otherwise, they are encoded one by one."""
+        found: dict[bytes, bytes] = {}
+        words = [p for p in pieces if LETTERS.fullmatch(p)]
+        for between, group in ((b"", [p for p in words if p[0] == 32]), (b"\n", [p for p in words if p[0] != 32])):
+            for at in range(0, len(group), together):
+                part = group[at : at + together]
+                e = self.library.encode(between.join(part).decode(), add_special_tokens=False)
+                raw = np.array(e.ids, "<u4").tobytes()
+                edges = [0, *((np.flatnonzero(np.diff(np.array(e.word_ids))) + 1) * 4).tolist(), len(raw)]
+                each = [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+                if between:
+                    each = each[::2] if len(each) == 2 * len(part) - 1 else []
+                if len(each) == len(part):
+                    found.update(zip(part, each, strict=True))
         return [found[p] if p in found else packed(self.library.encode(p.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids) for p in pieces]
 
 
@@ -253,7 +260,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
             part = b.column(2)[0].as_py() if b.num_rows else part
             for at in range(0, b.num_rows, 1000):
                 some = b.slice(at, 1000)
-                for i, x in zip(some.column(0).to_pylist(), c.encode_all([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                for i, x in zip(some.column(0).to_pylist(), c.encode_all([t or "" for t in some.column(1).to_pylist()], 1 << 21), strict=True):
                     ids.append(i)
                     raw.append(x + end)
                     size += len(raw[-1]) // 4

@@ -58,3 +58,14 @@ def test_any_widths():
         r = S.Reader(S.dump([1, 2], np.array([700, 900]), ids, widths))
         assert r.get(np.arange(len(ids))[::-1]).tolist() == ids[::-1].tolist()
         assert [x.tolist() for _, d in r.documents(50) for x in d] == [ids[:700].tolist(), ids[700:].tolist()]
+
+
+def test_pieces_encoded_together():
+    from quarry.llm.token_store import LibraryCodec
+
+    rng = random.Random(4)
+    lib, c = Tokenizer.from_file(PATH), LibraryCodec(open(PATH, encoding="utf-8").read())
+    pieces = {rng.choice(["", " "]) + "".join(rng.choices("abcXYZéßÿœɏ×÷ªµ", k=rng.randint(1, 9))) for _ in range(3000)} | {" ", "  ", "\n", "12", " %%", "'s", "s", "漢"}
+    pieces = [p.encode() for p in sorted(pieces)]
+    want = [np.array(lib.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    assert c.encode_pieces(pieces) == want
