@@ -612,7 +612,7 @@ def validate_refs(spark, sf):
     return maintain.dangling(S.edges(spark, sf), S.nodes(spark, sf).where("chunk_id % 9 <> 0"))
 
 
-@query("SELECT o_orderkey, l_linenumber, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber BETWEEN 2 AND 4 AND o_orderstatus = 'F'")
+@query("SELECT DISTINCT o_orderkey, l_linenumber, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber BETWEEN 2 AND 4 AND o_orderstatus = 'F'")
 def blame_interval_join(spark, sf):
     blame = S.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("line"), F.struct("l_linenumber", "l_shipdate").alias("hash"))
     chunks = S.read(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderkey").alias("file_path"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
