@@ -29,6 +29,11 @@ def parts(run) -> Column:
 
 
 def _of_run(run: Column) -> Column:
+    """Most identifiers have one part, and only the others need the expressions below."""
+    return F.when(F.contains(run, F.lit("_")), _of_parts(run)).otherwise(F.array(F.lower(run)))
+
+
+def _of_parts(run: Column) -> Column:
     sub = parts(run)
     pairs = F.when(F.size(sub) > 1, F.transform(F.sequence(F.lit(1), F.size(sub) - 1), lambda i: F.concat(F.element_at(sub, i), F.lit("_"), F.element_at(sub, i + 1))))
     whole = F.when(F.size(sub) > 1, F.array(F.array_join(sub, "")))

@@ -177,13 +177,21 @@ def expand(selected: DataFrame, edges: DataFrame, budget_: int = 12, most: int =
 
 def resolve(calls: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
     """Unresolved calls (call_id, name, file_path) to definitions (symbol, chunk_id, file_path) of that name, or of the name without
-    its module if there is none: one imported by the file, else in its folder, else next to that, else the first."""
-    names = calls.select("call_id", "name", T.strip_module("name").alias("bare"), "file_path")
-    d = defs.select(F.col("symbol"), F.col("chunk_id"), F.col("file_path").alias("def_path"))
-    exact = names.join(d, names["name"] == d["symbol"]).withColumn("level", F.lit(0))
-    bare = names.where("name <> bare").join(d, F.col("bare") == d["symbol"]).withColumn("level", F.lit(1))
-    linked = imports.select(F.col("importer").alias("file_path"), F.col("imported").alias("def_path"), F.lit(True).alias("linked")).distinct()
-    x = exact.unionByName(bare).join(linked, ["file_path", "def_path"], "left")
-    near = F.when(F.col("linked"), 0).when(T.parent_dir("file_path") == T.parent_dir("def_path"), 1).when(T.parent_dir(T.parent_dir("file_path")) == T.parent_dir(T.parent_dir("def_path")), 2).otherwise(3)
-    w = Window.partitionBy("call_id").orderBy("level", near, "chunk_id")
-    return x.withColumn("r", F.row_number().over(w)).where("r = 1").select("call_id", "name", F.col("chunk_id").alias("callee"))
+    its module if there is none: one imported by the file, else in its folder, else next to that, else the first.
+
+    The first definition of a symbol is settled for each place, each folder and each folder above before calls are joined, so a
+    call meets at most one candidate of each kind, however many definitions a symbol has.
+    """
+    folder = T.parent_dir("file_path")
+    c = calls.select("call_id", "name", T.strip_module("name").alias("bare"), "file_path", folder.alias("dir"), T.parent_dir(folder).alias("above"))
+    d = defs.select("symbol", "chunk_id", F.col("file_path").alias("def_path"), folder.alias("dir"), T.parent_dir(folder).alias("above"))
+    first = F.min("chunk_id").alias("first")
+    linked = imports.select(F.col("importer").alias("file_path"), F.col("imported").alias("def_path")).distinct().join(d, "def_path").groupBy("file_path", "symbol").agg(first)
+    of_dir, of_above, of_all = d.groupBy("dir", "symbol").agg(first), d.groupBy("above", "symbol").agg(first), d.groupBy("symbol").agg(first)
+    x, found = c, []
+    for name in ("name", "bare"):
+        for where, key in ((linked, ["file_path"]), (of_dir, ["dir"]), (of_above, ["above"]), (of_all, [])):
+            column = f"c{len(found)}"
+            x = x.join(where.select(*key, F.col("symbol").alias(name), F.col("first").alias(column)), [*key, name], "left")
+            found.append(column)
+    return x.select("call_id", "name", F.coalesce(*found).alias("callee")).where("callee is not null")

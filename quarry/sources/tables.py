@@ -10,8 +10,14 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer partitions than there are cores (one small file, say), dealt over them; any other as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    d = read(spark, folder, "documents")
+    d = spread(read(spark, folder, "documents"))
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return d.select(F.col("doc_id").alias("chunk_id"), path.alias("file_path"), F.col("text").alias("content"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), "source", "lang")
 
@@ -53,5 +59,5 @@ def commits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
-    c = read(spark, folder, "conversations")
+    c = spread(read(spark, folder, "conversations"))
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("note_id"), F.col("conv_id").alias("created_ts"), F.col("role").alias("scope"), F.col("text").alias("content"))
