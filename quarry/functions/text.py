@@ -257,3 +257,43 @@ def branch_key(name) -> Column:
 def tags(tag_array) -> Column:
     clean = F.filter(F.transform(_c(tag_array), lambda t: F.lower(F.trim(t))), lambda t: t != "")
     return F.array_join(F.array_sort(F.array_distinct(clean)), ",")
+
+
+def signature_line(line) -> Column:
+    """Whether a line begins a definition, in the usual languages."""
+    return F.trim(_c(line)).rlike(r"^(pub(\([^)]*\))?\s+|export\s+|default\s+|async\s+|static\s+|public\s+|private\s+|protected\s+|abstract\s+|final\s+)*(fn|def|class|func|function|struct|enum|trait|interface|impl|type|module)\b")
+
+
+def matching_lines(text, terms, most: int = 3) -> Column:
+    """The lines with most of the terms, first come first among equals, at most ``most``."""
+    lines = F.transform(F.split(_c(text), "\n"), lambda x, i: F.struct((-F.size(F.filter(_c(terms), lambda t: F.contains(F.lower(x), F.lower(t))))).alias("n"), i.alias("i"), x.alias("line")))
+    return F.transform(F.slice(F.array_sort(F.filter(lines, lambda s: s["n"] < 0)), 1, most), lambda s: s["line"])
+
+
+def graph_context(summary) -> Column:
+    """struct(calls, called_by) of a summary with "calls a, b" and "called by c" among its parts."""
+    part = lambda label: F.filter(F.split(F.regexp_extract(_c(summary), rf"(?:^|; ){label} ([^;]*)", 1), ", "), lambda x: x != "")
+    return F.struct(part("calls").alias("calls"), part("called by").alias("called_by"))
+
+
+def clean_summary(summary) -> Column:
+    """A summary without the parts that only the graph needs; null if nothing is left."""
+    kept = F.filter(F.split(_c(summary), "; "), lambda p: ~p.rlike("^(calls|called by|params|complexity) ") & (F.trim(p) != ""))
+    return F.nullif(F.array_join(kept, "; "), F.lit(""))
+
+
+def symbol_in(query) -> Column:
+    """The symbol that a question is about: what it quotes, else the last of its words that looks like an identifier."""
+    quoted = F.regexp_extract(_c(query), "[`\"']([A-Za-z_][\\w.:]*)[`\"']", 1)
+    clean = F.transform(words(query), lambda w: F.regexp_replace(w, r"^[^\w]+|[^\w]+$", ""))
+    return F.coalesce(F.nullif(quoted, F.lit("")), F.try_element_at(F.filter(clean, identifier_like), F.lit(-1)))
+
+
+def files_in(formatted) -> Column:
+    """Files that a formatted result names, in order."""
+    return F.array_distinct(F.regexp_extract_all(_c(formatted), F.lit(r"(?m)^\s*([\w./-]+\.\w+):\d+"), 1))
+
+
+def truncated(text, most: int) -> Column:
+    """struct(text, cut): at most ``most`` characters, and whether any were left out."""
+    return F.struct(F.left(_c(text), F.lit(most)).alias("text"), (F.length(_c(text)) > most).alias("cut"))

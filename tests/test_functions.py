@@ -111,3 +111,15 @@ def test_git_source(spark):
     rows = spark.read.format("git_log").option("most", "3").load(str(ROOT)).collect()
     assert len(rows) == 3 and all(len(r["hash"]) == 40 and r.message for r in rows)
     assert S.parse_blame("a" * 40 + " 1 7 2\nauthor x\n\tline\n" + "b" * 40 + " 3 8\n\tline2") == [(7, "a" * 40), (8, "b" * 40)]
+
+
+def test_lines_and_summaries(spark):
+    assert [one(spark, T.signature_line("q"), q=q) for q in ("  pub(crate) async fn x()", "def f():", "x = def", "export default class A {")] == [True, True, False, True]
+    assert one(spark, T.matching_lines("q", F.array(F.lit("foo"), F.lit("bar")), 2), q="foo\nnothing\nbar Foo\nbar") == ["bar Foo", "foo"]
+    s = "function f; calls a, b; called by c; complexity 2; Does it."
+    c = one(spark, T.graph_context("q"), q=s)
+    assert (c.calls, c.called_by) == (["a", "b"], ["c"]) and one(spark, T.clean_summary("q"), q=s) == "function f; Does it." and one(spark, T.clean_summary("q"), q="calls a") is None
+    assert [one(spark, T.symbol_in("q"), q=q) for q in ("who calls `parse`?", "where is getUser and put_item?", "nothing here")] == ["parse", "put_item", None]
+    assert one(spark, T.files_in("q"), q="src/a.py:3-4  0.1\n  b/c.rs:9\nsrc/a.py:7\nnot one") == ["src/a.py", "b/c.rs"]
+    t = one(spark, T.truncated("q", 3), q="abcd")
+    assert (t.text, t.cut) == ("abc", True)
