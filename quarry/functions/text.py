@@ -163,7 +163,7 @@ def file_name(path) -> Column:
 
 
 def path_penalty(path) -> Column:
-    """0.30 for a test folder, test file, old code and examples each, 0.70 for type declarations, 0.50 for files that only re-export."""
+    """0.30 for a test folder, test file, old code and examples each, 0.70 for type declarations, 0.50 for files that only re-export."""
     p, name = padded(path), file_name(F.lower(_c(path)))
     cut = lambda hit, f: F.when(hit, F.lit(f)).otherwise(F.lit(1.0))
     return (

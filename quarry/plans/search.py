@@ -269,3 +269,52 @@ def adaptive_walk(symbols: DataFrame, edges: DataFrame, chunks: DataFrame, few:
     if n > many:
         return "by folder", relational.per_directory(near.join(chunks.select("chunk_id", "file_path"), "chunk_id").select(F.col("relation").alias("group"), "file_path"))
     return "one hop", near
+
+
+def suggestions(results: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, name): other names among the results of queries whose best result is ambiguous, best first."""
+    unsure = results.where("rank = 1 and label = 'ambiguous'").select("query_id")
+    x = results.join(unsure, "query_id", "left_semi").where("name is not null").groupBy("query_id", "name").agg(F.min("rank").alias("rank"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query_id").orderBy("rank", "name")
+    return x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("query_id", "name", "rank")
+
+
+def symbol_shortcut(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): definitions of the symbol that a question is about, which make a search of it needless."""
+    q = queries.select("query_id", T.symbol_in("query").alias("name")).where("name is not null")
+    return index.chunks.where("name is not null").select("chunk_id", "name").join(q, "name").select("query_id", "chunk_id")
+
+
+def federated_history(repos: dict[str, tuple[DataFrame, DataFrame | None]], limit: int = 20, **conditions) -> DataFrame:
+    """Commits of several repositories (commits, file_commits), newest first, with the repository's name."""
+    each = [relational.filter_commits(c, f, limit=limit, **conditions).withColumn("repo", F.lit(name)) for name, (c, f) in sorted(repos.items())]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out.orderBy(F.desc("ts"), "repo", F.desc("hash")).limit(limit)
+
+
+def module_scaffold(index: Index, folder: str, tokens: int = 2000) -> DataFrame:
+    """(section, line): a folder's symbols, imports, importers, and calls out and in, in this order, up to so many tokens."""
+    own = index.chunks.where(F.startswith(F.col("file_path"), F.lit(folder.rstrip("/") + "/")))
+    parts = [own.where("name is not null").select(F.lit(0).alias("o"), F.lit("symbols").alias("section"), F.concat("file_path", F.lit(": "), "name").alias("line"))]
+    if index.imports is not None:
+        inside = lambda c: F.startswith(F.col(c), F.lit(folder.rstrip("/") + "/"))
+        parts.append(index.imports.where(inside("importer")).select(F.lit(1).alias("o"), F.lit("imports").alias("section"), F.col("imported").alias("line")))
+        parts.append(index.imports.where(inside("imported")).select(F.lit(2).alias("o"), F.lit("imported by").alias("section"), F.col("importer").alias("line")))
+    if index.edges is not None:
+        ids, names = own.select("chunk_id"), index.chunks.select("chunk_id", "name")
+        calls = index.edges.where("kind = 'call'")
+        out = calls.join(ids.withColumnRenamed("chunk_id", "src"), "src", "left_semi").join(names.withColumnRenamed("chunk_id", "dst"), "dst")
+        into = calls.join(ids.withColumnRenamed("chunk_id", "dst"), "dst", "left_semi").join(names.withColumnRenamed("chunk_id", "src"), "src")
+        parts += [x.where("name is not null").select(F.lit(o).alias("o"), F.lit(s).alias("section"), F.col("name").alias("line")) for o, s, x in ((3, "calls", out), (4, "called by", into))]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    from pyspark.sql import Window
+
+    u = u.distinct().withColumns({"query_id": F.lit(0), "size": F.ceil(F.length("line") / 4)})
+    u = u.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "line")))
+    return cut.byte_budget(u, "size", tokens).select("rank", "section", "line")

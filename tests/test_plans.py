@@ -243,3 +243,17 @@ def test_evaluation_sets(spark):
     assert [(r.item, r["rank"]) for r in E.dedup_ranked(ranked).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
     turns = spark.createDataFrame([("r", 1, 2, 3, ["x", "y"]), ("r", 1, 0, 0, ["x"])], "run string, input_tokens long, cache_creation long, cache_read long, tool_calls array<string>")
     assert E.context_burden(turns, "run").first().burden == 7 and {(r.tool, r.n) for r in E.tool_distribution(turns, "run").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_shortcuts_and_scaffolds(index, spark):
+    q = spark.createDataFrame([(1, "where is make_token used"), (2, "nothing")], "query_id long, query string")
+    by = {r.name: r.chunk_id for r in index.chunks.where("name is not null").collect()}
+    assert [tuple(r) for r in P.symbol_shortcut(index, q).collect()] == [(1, by["make_token"])]
+    res = spark.createDataFrame([(1, "a", 1, "ambiguous"), (1, "b", 2, "inferred"), (1, "b", 3, "inferred"), (2, "c", 1, "extracted")], "query_id long, name string, rank int, label string")
+    assert [(r.query_id, r.name) for r in P.suggestions(res).orderBy("rank").collect()] == [(1, "a"), (1, "b")]
+    c = spark.createDataFrame([(1, 10, "x"), (2, 30, "y")], "hash long, ts long, message string")
+    got = P.federated_history({"b": (c, None), "a": (c.where("hash = 1"), None)}, limit=2).collect()
+    assert [(r.repo, r["hash"]) for r in got] == [("b", 2), ("a", 1)]
+    rows = P.module_scaffold(index, "src/auth").collect()
+    assert {(r.section, r.line) for r in rows} >= {("symbols", "src/auth/login.py: login_user"), ("calls", "make_token"), ("called by", "test_login_user")}
+    assert len(P.module_scaffold(index, "src/auth", 10).collect()) < len(rows)
