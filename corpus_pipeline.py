@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from quarry.llm import bpe, decontaminate, exact_dedup, near_copies, toxicity
 from quarry.llm.common import new_folder, table
 from quarry.llm.queries import vocabulary_path
 
@@ -23,8 +23,8 @@ def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8, with its own shingles and threshold: of linked fingerprints the row with the smallest doc_id stays."""
-    return simhash.deduplicated(docs)
+    """Operator 8's links, and those of texts whose five-word shingles have a similarity of 0.8: of what is linked the row with the smallest doc_id stays."""
+    return near_copies.deduplicated(docs)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
