@@ -139,7 +139,7 @@ def _fits(benchmark: DataFrame, text_col: str, most: int) -> bool:
 
 
 def _benchmark(benchmark: DataFrame, item_col: str, text_col: str, seed: int):
-    rows = [tuple(r) for r in benchmark.select(item_col, text_col).orderBy(item_col, text_col).collect()]
+    rows = [tuple(r) for r in benchmark.select(item_col, text_col).distinct().orderBy(item_col, text_col).collect()]
     return benchmark.sparkSession.sparkContext.broadcast(Benchmark(rows, seed))
 
 
@@ -172,7 +172,7 @@ def find_leaks(
 
         return rows.mapInArrow(run, schema)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text"))
-    lengths = sorted({min(seed, r.n) for r in items.select(F.size(F.expr(r"regexp_extract_all(lower(item_text), '\\w+', 0)")).alias("n")).where("n > 0").select(F.least("n", F.lit(seed)).alias("n")).distinct().collect()} | {seed})
+    lengths = sorted({r.n for r in items.select("item_text").mapInArrow(_seed_lengths(seed), "n int").distinct().collect()} | {seed})
     pairs = joined_candidates(rows, items, seed, lengths)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +196,14 @@ def _item_type(benchmark: DataFrame, item_col: str) -> pa.DataType:
     return to_arrow_type(benchmark.schema[item_col].dataType)
 
 
+def _seed_lengths(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({min(seed, n) for t in b.column(0).to_pylist() if (n := len(words(t)))}), pa.int32())], ["n"])
+
+    return run
+
+
 def seeds_of(n: tuple[int, ...], shorter: bool):
     """Emits (key, seed) for each run of words, distinct within a row. shorter: a row of fewer words than the longest run is
     itself a run (items), else all runs of these lengths count (documents)."""

@@ -105,3 +105,16 @@ def test_empty(spark, most):
     assert D.find_leaks(docs, bench.limit(0), broadcast_bytes=most).collect() == []
     assert D.decontaminated(docs, bench.limit(0), broadcast_bytes=most).count() == 1
     assert [r.item_id for r in D.find_leaks(docs, bench, broadcast_bytes=most).collect()] == [1]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 10])
+def test_short_items_of_any_letters_and_repeated_items(spark, most):
+    items = [(1, "für die Größe"), (2, "Привет мир"), (3, "naïve"), (4, "日本 語 の 文"), (5, "один два три четыре пять шесть")]
+    items += [items[0], items[4], (6, items[1][1]), (7, None), (7, None)]
+    docs = [(k, f"before {t} after".upper() if k % 2 else f"x {t}.") for k, (_, t) in enumerate(items[:5])] + [(90, "fur die große"), (91, "мир привет")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.find_leaks(df, bench, broadcast_bytes=most).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in got) == sorted(slow_leaks(docs, list(dict.fromkeys(items))))
+    assert {r.doc_id for r in got} == {0, 1, 2, 3, 4}
+    assert sorted(r.doc_id for r in D.decontaminated(df, bench, broadcast_bytes=most).collect()) == [90, 91]
