@@ -6,8 +6,8 @@ the element it stands in. Elements that are no content by their name, role or
 class (menus, footers, adverts, forms, ...) are passed over. Over the other lines
 the ratio of text to tags is smoothed with a Gaussian kernel; lines that reach
 the threshold, the standard deviation of the smoothed ratios, are clustered by
-the region they stand in, and the region with the most such text is the content.
-All lines of that region belong to it, short ones and headings too.
+the region they stand in: every article among them is content, or else the region
+around all of them. All lines of a region belong to it, short ones and headings too.
 """
 
 from __future__ import annotations
@@ -148,31 +148,26 @@ def smoothed(ratio: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarr
     return np.convolve(ratio, k, "full")[radius : radius + n] / np.convolve(np.ones(n), k, "full")[radius : radius + n]
 
 
-def content(lines: Lines, share: float = 0.75) -> list[int]:
-    """The lines of the content region: the innermost article or main, else the innermost region of any kind, that holds at least
-    ``share`` of the text of all lines over the threshold."""
+def content(lines: Lines) -> list[int]:
+    """The lines of the content regions: all articles with lines over the threshold, and the main element that holds most of them;
+    where there is neither, the innermost region of any kind that holds every line over the threshold."""
     if not lines.texts:
         return []
     size = np.array([len(t) for t in lines.texts], float)
     ratio = smoothed(size / np.maximum(1, lines.tags))
     seed = ratio >= min(ratio.std(), ratio.max())
-    mass: dict = defaultdict(float)
+    mass: dict = defaultdict(int)
     for s, w, path in zip(seed, size, lines.paths, strict=True):
         if s:
             for r in path:
-                mass[r] += w
-    total = size[seed].sum()
+                mass[r] += int(w)
+    total = int(size[seed].sum())
     named = [r for r in mass if r[1] in ("article", "main")]
     if named:
-        # several articles on a page that hold the text together are all content
-        best = max(named, key=lambda r: (mass[r], r[0]))
-        if mass[best] >= share * sum(mass[r] for r in named if r[1] == best[1]) or best[1] == "main":
-            chosen = {best}
-        else:
-            chosen = {r for r in named if r[1] == "article"}
+        chosen = {max(named, key=lambda r: (mass[r], r[0])), *(r for r in named if r[1] == "article")}
     else:
-        enough = [r for r in mass if mass[r] >= share * total]
-        chosen = {max(enough)} if enough else set()
+        whole = [r for r in mass if mass[r] == total]
+        chosen = {max(whole)} if whole else set()
     return [k for k, path in enumerate(lines.paths) if not chosen or not chosen.isdisjoint(path)]
 
 

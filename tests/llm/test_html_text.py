@@ -34,6 +34,21 @@ def test_pages(html, text):
     assert main_text(html, step=7 if len(html or "") < 5000 else 1 << 16) == text
 
 
+@pytest.mark.parametrize("tag", ["section", "blockquote", "div", "table><tr><td"])
+def test_text_around_an_inner_region_stays(tag):
+    inner = "".join(f"<p>{LONG}{k}</p>" for k in range(8))
+    end = "</td></tr></table>" if "td" in tag else f"</{tag}>"
+    want = ["T", WANT, *(f"{LONG}{k}" for k in range(8)), f"{LONG}last"]
+    assert main_text(f"<body>{NAV}<div class=post><h1>T</h1><p>{LONG}</p><{tag}>{inner}{end}<p>{LONG}last</p></div><footer>us</footer></body>").split("\n") == want
+
+
+def test_unequal_articles_stay():
+    long = "".join(f"<p>{LONG}{k}</p>" for k in range(8))
+    want = [*(f"{LONG}{k}" for k in range(8)), "Two", WANT]
+    assert main_text(f"<body>{NAV}<article>{long}</article><article><h2>Two</h2><p>{LONG}</p></article></body>").split("\n") == want
+    assert main_text(f"<body><main>{long}</main><article><h2>Two</h2><p>{LONG}</p></article></body>").split("\n") == want
+
+
 def test_smoothing_keeps_a_level():
     assert np.allclose(smoothed(np.full(7, 3.0)), 3.0)
     a = smoothed(np.array([0.0, 0, 9, 0, 0]))
