@@ -21,15 +21,28 @@ def mean_vectors(tokens: DataFrame, key: str = "token_id") -> DataFrame:
 
 
 def shortlist(table: DataFrame, centroids: DataFrame, m: int = 8) -> DataFrame:
-    """(token_id, cid, rank): each token's m centroids of the largest dot product, ties by cid. Centroids are few, at most 65,536."""
-    d = table.crossJoin(F.broadcast(centroids.limit(65_536).select("cid", F.col("vector").alias("c")))).select("token_id", "cid", F.round(N.dot("vector", "c"), 12).alias("dot"))
+    """(token_id, cid, rank): each token's m centroids of the largest dot product, ties by cid. Centroids are few, at most 65,536.
+
+    The list of the mean of all rows that aren't nought has a null token_id: it is the fallback for tokens that the table doesn't
+    have, and tokens whose row is nought get it too. Without such rows it has the first m centroids."""
+    table = table.where("token_id IS NOT NULL").select("token_id", N.doubles("vector").alias("vector"), F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)).alias("filled"))
+    filled = table.where("filled").select("token_id", "vector")
+    mean = filled.select(F.posexplode("vector").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("x")).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
+    rows = filled.unionByName(mean.select(F.lit(None).cast(table.schema["token_id"].dataType).alias("token_id"), F.transform("v", lambda s: s["x"]).alias("vector")))
+    d = rows.crossJoin(F.broadcast(centroids.limit(65_536).select("cid", F.col("vector").alias("c")))).select("token_id", "cid", F.round(N.dot("vector", "c"), 12).alias("dot"))
     w = Window.partitionBy("token_id").orderBy(F.desc("dot"), "cid")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
+    ranked = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
+    fallback = ranked.where("token_id IS NULL").drop("token_id")
+    return ranked.unionByName(table.where("NOT filled").select("token_id").crossJoin(fallback))
 
 
 def shortlist_argmax(vectors: DataFrame, lists: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(vec_id, cid): for vectors (vec_id, vector, token_ids) the best centroid among those on their tokens' lists; ties to the lowest."""
-    x = vectors.select("vec_id", "vector", F.explode("token_ids").alias("token_id")).join(lists.select("token_id", "cid"), "token_id").select("vec_id", "vector", "cid").distinct()
+    """(vec_id, cid): for vectors (vec_id, vector, token_ids) the best centroid among those on their tokens' lists; ties to the lowest.
+    Tokens without a list, and vectors without tokens, take the fallback list, that of the null token_id."""
+    lists = lists.select("token_id", "cid")
+    x = vectors.select("vec_id", "vector", F.explode_outer("token_ids").alias("token_id")).join(lists.where("token_id IS NOT NULL"), "token_id", "left").select("vec_id", "vector", "cid")
+    fallback = x.where("cid IS NULL").select("vec_id", "vector").crossJoin(F.broadcast(lists.where("token_id IS NULL").select("cid")))
+    x = x.where("cid IS NOT NULL").unionByName(fallback).distinct()
     x = x.join(centroids.select("cid", F.col("vector").alias("c")), "cid").withColumn("dot", F.round(N.dot("vector", "c"), 12))
     return x.groupBy("vec_id").agg(F.max(F.struct("dot", (-F.col("cid")).alias("n"))).alias("m")).select("vec_id", (-F.col("m.n")).alias("cid"))
 

@@ -578,7 +578,7 @@ CENTROIDS = "ce AS (SELECT vec_id::INT AS cid, embedding::DOUBLE[] AS c FROM emb
 def centroid_shortlist(spark, sf):
     v = S.vectors(spark, sf)
     c = v.where("chunk_id < 16").select(F.col("chunk_id").cast("int").alias("cid"), "vector")
-    return vectors.shortlist(v.select(F.col("chunk_id").alias("token_id"), "vector"), c, 4).select("token_id", "cid", "rank")
+    return vectors.shortlist(v.select(F.col("chunk_id").alias("token_id"), "vector"), c, 4).where("token_id IS NOT NULL").select("token_id", "cid", "rank")
 
 
 @query(f"""WITH {CENTROIDS}, d AS (SELECT vec_id, cid, round(list_dot_product(embedding::DOUBLE[], c), 12) AS dot FROM embeddings, ce), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dot DESC, cid) AS r FROM d), sl AS (SELECT vec_id AS token_id, cid FROM r WHERE r <= 4),

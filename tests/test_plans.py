@@ -158,6 +158,20 @@ def test_mixing_and_centroids(spark):
     assert vectors.agreement(full, full).first().agreement == 1.0
 
 
+def test_shortlists_fall_back_to_the_mean(spark):
+    table = spark.createDataFrame([(0, [2.0, 0.1]), (1, [0.1, 2.0]), (2, [-2.0, -0.1]), (3, [0.0, 0.0])], "token_id long, vector array<double>")
+    cents = {0: [1.0, 0.0], 1: [0.0, 1.0], 2: [-1.0, 0.0], 3: [0.0, -1.0], 4: [0.7, 0.7]}
+    c = spark.createDataFrame(list(cents.items()), "cid int, vector array<double>")
+    got = {}
+    for r in vectors.shortlist(table, c, 3).orderBy("rank").collect():
+        got.setdefault(r.token_id, []).append(r.cid)
+    assert got == {0: [0, 4, 1], 1: [1, 4, 0], 2: [2, 3, 1], 3: [1, 4, 0], None: [1, 4, 0]}
+    v = spark.createDataFrame([(1, [1.0, 0.2], [99]), (2, [0.9, 0.1], None), (3, [0.1, 0.9], []), (4, [1.0, 0.0], [2, 99]), (5, [-1.0, 0.0], [2]), (6, [-1.0, -0.1], [3]), (7, [0.0, 1.0], [None])], "vec_id long, vector array<double>, token_ids array<long>")
+    assert {r.vec_id: r.cid for r in vectors.shortlist_argmax(v, vectors.shortlist(table, c, 3), c).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 2, 6: 1, 7: 1}
+    none = vectors.shortlist(table.where("token_id = 3"), c, 2)
+    assert sorted((str(r.token_id), r.cid) for r in none.collect()) == [("3", 0), ("3", 1), ("None", 0), ("None", 1)]
+
+
 def test_notes_and_maintenance(spark):
     n = spark.createDataFrame([(1, 1, "r", "keep the cache", "x"), (2, 2, "r", "old", "")], "note_id long, created_ts long, scope string, content string, tags string")
     new = spark.createDataFrame([(3, 3, "r", " old ", "y"), (4, 4, "r", "  ", "")], n.schema)
