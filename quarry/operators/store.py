@@ -43,12 +43,18 @@ class VectorStore:
     def active(cls, spark: SparkSession, folder: str) -> VectorStore:
         return cls(spark, folder, spark.read.parquet(f"{folder.rstrip('/')}/active").first().version)
 
-    def two_stage(self, queries: DataFrame, k: int, wide: int = 4) -> DataFrame:
-        """The k best of the wide x k rows of the largest int8 product; a query is (query_id, vector), and there are few."""
-        q = queries.select("query_id", N.doubles("vector").alias("qv")).withColumn("qs", N.int8_scale("qv")).withColumn("qq", N.int8("qv", "qs")).limit(10_000)
-        rough = self.rows().crossJoin(F.broadcast(q)).withColumn("score", N.dot("q", "qq") * F.col("scale") / N.norm("vector"))
-        best = top_k(rough.withColumn("score", F.round("score", 9)), wide * k)
-        return top_k(best.select("query_id", "chunk_id", F.round(N.cosine("vector", "qv"), 9).alias("score")), k)
+    def two_stage(self, queries: DataFrame, k: int, wide: int = 4, most_queries: int = 10_000) -> DataFrame:
+        """The k best of the wide x k rows of the largest int8 product; a query is (query_id, vector). Queries go to the tasks in
+        blocks of about ``most_queries``."""
+        q = queries.select("query_id", N.doubles("vector").alias("qv")).withColumn("qs", N.int8_scale("qv")).withColumn("qq", N.int8("qv", "qs"))
+        blocks, out = max(1, -(-queries.count() // most_queries)), None
+        for block in range(blocks):
+            part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+            rough = self.rows().crossJoin(F.broadcast(part)).withColumn("score", N.dot("q", "qq") * F.col("scale") / N.norm("vector"))
+            best = top_k(rough.withColumn("score", F.round("score", 9)), wide * k)
+            one = top_k(best.select("query_id", "chunk_id", F.round(N.cosine("vector", "qv"), 9).alias("score")), k)
+            out = one if out is None else out.unionByName(one)
+        return out
 
 
 def semantic_cache(cache: DataFrame, queries: DataFrame, stamp: str, threshold: float = 0.85) -> DataFrame:

@@ -20,8 +20,15 @@ def mean_vectors(tokens: DataFrame, key: str = "token_id") -> DataFrame:
     return g.select(key, N.normalized(F.transform("v", lambda s: s["x"])).alias("vector"))
 
 
+def bounded(centroids: DataFrame, most: int = 65_536) -> DataFrame:
+    """(cid, c), or an error where there are more than ``most``."""
+    if centroids.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} centroids")
+    return centroids.select("cid", F.col("vector").alias("c"))
+
+
 def shortlist(table: DataFrame, centroids: DataFrame, m: int = 8) -> DataFrame:
-    """(token_id, cid, rank): each token's m centroids of the largest dot product, ties by cid. Centroids are few, at most 65,536.
+    """(token_id, cid, rank): each token's m centroids of the largest dot product, ties by cid. More than 65,536 centroids are an error.
 
     The list of the mean of all rows that aren't nought has a null token_id: it is the fallback for tokens that the table doesn't
     have, and tokens whose row is nought get it too. Without such rows it has the first m centroids."""
@@ -29,7 +36,7 @@ def shortlist(table: DataFrame, centroids: DataFrame, m: int = 8) -> DataFrame:
     filled = table.where("filled").select("token_id", "vector")
     mean = filled.select(F.posexplode("vector").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("x")).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
     rows = filled.unionByName(mean.select(F.lit(None).cast(table.schema["token_id"].dataType).alias("token_id"), F.transform("v", lambda s: s["x"]).alias("vector")))
-    d = rows.crossJoin(F.broadcast(centroids.limit(65_536).select("cid", F.col("vector").alias("c")))).select("token_id", "cid", F.round(N.dot("vector", "c"), 12).alias("dot"))
+    d = rows.crossJoin(F.broadcast(bounded(centroids))).select("token_id", "cid", F.round(N.dot("vector", "c"), 12).alias("dot"))
     w = Window.partitionBy("token_id").orderBy(F.desc("dot"), "cid")
     ranked = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
     fallback = ranked.where("token_id IS NULL").drop("token_id")
@@ -48,7 +55,7 @@ def shortlist_argmax(vectors: DataFrame, lists: DataFrame, centroids: DataFrame)
 
 
 def full_argmax(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    x = vectors.select("vec_id", "vector").crossJoin(F.broadcast(centroids.limit(65_536).select("cid", F.col("vector").alias("c"))))
+    x = vectors.select("vec_id", "vector").crossJoin(F.broadcast(bounded(centroids)))
     x = x.withColumn("dot", F.round(N.dot("vector", "c"), 12))
     return x.groupBy("vec_id").agg(F.max(F.struct("dot", (-F.col("cid")).alias("n"))).alias("m")).select("vec_id", (-F.col("m.n")).alias("cid"))
 

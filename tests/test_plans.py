@@ -172,6 +172,23 @@ def test_shortlists_fall_back_to_the_mean(spark):
     assert sorted((str(r.token_id), r.cid) for r in none.collect()) == [("3", 0), ("3", 1), ("None", 0), ("None", 1)]
 
 
+def test_no_silent_bounds(spark, tmp_path):
+    from quarry.operators import store
+
+    c = spark.range(65_537).select(F.col("id").cast("int").alias("cid"), F.array(F.col("id").cast("double")).alias("vector"))
+    v = spark.createDataFrame([(1, [1.0])], "vec_id long, vector array<double>")
+    with pytest.raises(ValueError):
+        vectors.full_argmax(v, c)
+    with pytest.raises(ValueError):
+        vectors.shortlist(v.withColumnRenamed("vec_id", "token_id"), c)
+    assert vectors.full_argmax(v, c.where("cid <> 5")).first().cid == 65_536
+    s = store.VectorStore(spark, str(tmp_path), "v1")
+    s.append(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id long, vector array<double>"))
+    q = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.1)).alias("vector"))
+    assert s.two_stage(q, 1).where("chunk_id = 1").select("query_id").distinct().count() == 10_050
+    assert s.two_stage(q.limit(7), 1, most_queries=2).count() == 7
+
+
 def test_notes_and_maintenance(spark):
     n = spark.createDataFrame([(1, 1, "r", "keep the cache", "x"), (2, 2, "r", "old", "")], "note_id long, created_ts long, scope string, content string, tags string")
     new = spark.createDataFrame([(3, 3, "r", " old ", "y"), (4, 4, "r", "  ", "")], n.schema)
