@@ -101,6 +101,21 @@ class Split:
         _, at, self.which = np.unique(h ^ h >> np.uint64(29) ^ (self.end - self.start).astype(np.uint64) << np.uint64(50), return_index=True, return_inverse=True)
         #: the different pieces; which: of these, the one that stands in each place
         self.pieces = [raw[i:j] for i, j in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+        self._confirm(b, kind, at)
+
+    def _confirm(self, b: np.ndarray, kind: np.ndarray, at: np.ndarray) -> None:
+        """Compares each piece's bytes with those of the piece that its hash makes it equal to; one that differs is a piece of its own."""
+        if not len(at):
+            return
+        like = at[self.which]
+        place = np.arange(self.start[0], len(b)) + np.repeat(self.start[like] - self.start, np.diff(np.append(self.start, len(b))))
+        same = b[np.minimum(place, len(b) - 1)] == b[self.start[0] :]
+        same |= kind[self.start[0] :] == END  # between texts
+        agree = np.logical_and.reduceat(same, self.start - self.start[0]) & (self.end - self.start == (self.end - self.start)[like])
+        own: dict[bytes, int] = {}
+        for i in np.flatnonzero(~agree).tolist():
+            self.which[i] = own.setdefault(self.raw[self.start[i] : self.end[i]], len(self.pieces) + len(own))
+        self.pieces += own
 
     def put(self, ids: list[bytes]) -> list[bytes]:
         """The texts' ids from those of ``pieces``."""

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, chat, decontaminate, exact_dedup, html_text, secrets, simhash, token_store, toxicity, url_filter
 from quarry.llm.common import table
 
-#: Where the vocabulary files of public tokenizers are.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a vocabulary file of the public tokenizers is."""
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quarry.llm import bpe
+from quarry.llm.token_store import LibraryCodec
 
 PATH = P.path("byte_bpe_50k.json")
 BITS = [" ", "  ", "\n", "a", "The", "<|endoftext|>", "<|endof", "'s", "'S", "é", "ß", "7", "٣", "\x1c", "\x85", "​", "漢字", "한글", "😀", "\U00010400", "՘", "꟎", "!", "\t", "\x00"]
@@ -55,6 +56,25 @@ def test_long_texts_are_cut_where_pieces_begin(lib, codec):
         assert codec.encode_all([t, "x y", t], room=9)[0] == bpe.packed(lib.encode(t, add_special_tokens=False).ids), t
 
 
+def thue_morse(n: int) -> str:
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("kind", [bpe.Codec, LibraryCodec])
+def test_pieces_of_one_hash_stay_apart(lib, kind):
+    """Two words whose hashes agree modulo 2**64, alone and with other texts between and around them."""
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    s = bpe.Split([f"{one}\n{other}"])
+    assert sorted(s.pieces) == sorted([one.encode(), b"\n", other.encode()])
+    texts = [f"{one}\n{other}", "plain words", other, f"x {one} y {other} {one}", "", f" {other}", one, "plain words", f"{other}\n{other} z"]
+    c = kind(open(PATH, encoding="utf-8").read())
+    for group in ([texts[0]], texts, texts[::-1]):
+        got = c.encode_all(group)
+        assert got == [bpe.packed(lib.encode(t, add_special_tokens=False).ids) for t in group]
+        assert [c.decode(np.frombuffer(x, "<u4").tolist()) for x in got] == group
+
+
 def test_long_piece_without_breaks(lib, codec):
     for t in ("a" * 20_000, "ab" * 5000, "=" * 9000, " " * 7000 + "x", "é" * 3000):
         assert codec.encode(t) == lib.encode(t, add_special_tokens=False).ids
