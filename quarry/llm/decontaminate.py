@@ -3,10 +3,10 @@
 A document and a benchmark item that share a run of ``seed`` words are compared.
 Tiling covers the item with runs of words that the document has too, in any
 order: the longest common runs of unmarked words are found by running Karp-Rabin
-over windows of a search length, which halves from round to round, and marked
-from the longest on, so that no word is used twice. The share of the item's words
-that lie in tiles is its coverage; a passage whose sentences were put in another
-order is covered like the passage itself.
+over windows, whose length is halved towards the longest that both have, and
+marked from the longest on, so that no word is used twice. The share of the
+item's words that lie in tiles is its coverage; a passage whose sentences were put
+in another order is covered like the passage itself.
 
 A benchmark whose texts fit ``broadcast_bytes`` is sent to the executors, and the
 documents pass through once, without a shuffle. A larger one is joined on the
@@ -29,6 +29,7 @@ from quarry.llm.common import whole
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 FOUND = "coverage double, matched int, n_words int, n_tiles int, reordered boolean"
 
 
@@ -44,47 +45,75 @@ def windows(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _scan(item: np.ndarray, doc: np.ndarray, item_free: np.ndarray, doc_free: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """Common runs (length, place in item, place in doc) of n or more unmarked words, longest first."""
-    a, b = windows(item, n), windows(doc, n)
-    free = lambda f: np.flatnonzero(np.convolve(f, np.ones(n, int), "valid") == n) if len(f) >= n else np.zeros(0, int)
-    at, to = free(item_free), free(doc_free)
-    order = at[np.argsort(a[at], kind="stable")]
-    left, right = np.searchsorted(a[order], b[to], "left"), np.searchsorted(a[order], b[to], "right")
-    count = right - left
-    j = np.repeat(to, count)
-    i = order[np.repeat(left, count) + np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count)]
-    for k in range(n):  # confirm the hashes
-        same = item[i + k] == doc[j + k]
-        i, j = i[same], j[same]
-    length, live = np.full(len(i), n), np.arange(len(i))
-    while len(live):
-        p, q = i[live] + length[live], j[live] + length[live]
-        live, p, q = (x[(p < len(item)) & (q < len(doc))] for x in (live, p, q))
-        live = live[(item[p] == doc[q]) & item_free[p] & doc_free[q]]
-        length[live] += 1
-    order = np.lexsort((j, i, -length))
-    return list(zip(length[order].tolist(), i[order].tolist(), j[order].tolist(), strict=True))
-
-
-def tiles(item: np.ndarray, doc: np.ndarray, least: int, first: int = 20) -> list[tuple[int, int, int]]:
-    """(length, place in item, place in doc) of the tiles. Both are arrays of word numbers (uint64)."""
-    item_free, doc_free, out = np.ones(len(item), bool), np.ones(len(doc), bool), []
-    n = max(least, min(first, len(item)))
-    while len(item) >= n >= 1:
-        found = _scan(item, doc, item_free, doc_free, n)
-        if found and found[0][0] > 2 * n:
-            n = found[0][0]
-            continue
-        for length, i, j in found:
-            if item_free[i : i + length].all() and doc_free[j : j + length].all():
-                item_free[i : i + length] = doc_free[j : j + length] = False
-                out.append((length, i, j))
-        if found:
-            continue  # what other tiles have cut short may still hold n words
-        if n == least:
+class Runs:
+    """Karp-Rabin hashes of the windows of a sequence, of any length: differences of running sums of word number * BASE**place."""
+
+    up = down = np.ones(1, np.uint64)
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        if len(Runs.up) < n:
+            Runs.up = np.concatenate([[np.uint64(1)], np.full(2 * n, BASE)]).cumprod(dtype=np.uint64)
+            Runs.down = np.concatenate([[np.uint64(1)], np.full(2 * n, INVERSE)]).cumprod(dtype=np.uint64)
+        self.ids, self.free, self.sums = ids, ids > 0, np.zeros(n + 1, np.uint64)
+        np.cumsum(self.up[:n] * ids, out=self.sums[1:])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of all windows of n unmarked words."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[n:] == taken[: len(taken) - n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.down[at]
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(length, place in item, place in doc) of the tiles, from the longest on, ties by the places. Both are arrays of word numbers
+    (uint64); 0 is a word that matches nothing.
+
+    The length of the longest common run of unmarked words is found by halving: runs of a length exist if windows of that length
+    have a hash in common. Memory is linear in the texts, as no pairs of windows are written out; hashes only ever find, and each
+    tile is confirmed word by word.
+    """
+    a, b, out = Runs(item), Runs(doc), []
+    top = min(len(item), len(doc)) + 1  # no common run is as long
+    while top > least:
+        low = least - 1
+        while top - low > 1:
+            n = (low + top) // 2
+            if np.isin(a.windows(n)[1], b.windows(n)[1]).any():
+                low = n
+            else:
+                top = n
+        if low < least:
             break
-        n = max(least, n // 2)
+        out += _mark(a, b, low)
+        top = low
+    return out
+
+
+def _mark(a: Runs, b: Runs, n: int) -> list[tuple[int, int, int]]:
+    """Marks common runs of n words, by place in a and then in b. A window of b that is no longer free never is again, so the search
+    among equal windows goes on from where the last one ended."""
+    out, (at, left), (to, right) = [], a.windows(n), b.windows(n)
+    order = np.argsort(right, kind="stable")
+    to, right = to[order], right[order]
+    first, after = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    reached: dict[int, int] = {}
+    for i, start, end in zip(at.tolist(), first.tolist(), after.tolist(), strict=True):
+        if start == end or not a.free[i : i + n].all():
+            continue
+        k, settled = reached.get(start, start), True
+        while k < end:
+            j = int(to[k])
+            if len(taken := np.flatnonzero(~b.free[j : j + n])):
+                k = max(k + 1, int(np.searchsorted(to[start:end], j + taken[-1], "right")) + start)
+                if settled:
+                    reached[start] = k
+            elif (a.ids[i : i + n] == b.ids[j : j + n]).all():
+                a.free[i : i + n] = b.free[j : j + n] = False
+                out.append((n, i, j))
+                break
+            else:  # another run of the same hash, which may still be some window's
+                k, settled = k + 1, False
     return out
 
 
@@ -154,7 +183,8 @@ def find_leaks(
     words is never found. Null texts have no words. Repeated rows of docs are
     found as often as they stand there, null identifiers like any other, and items
     repeated are found once each. Either table may be empty; other columns are
-    ignored. The whole of each text is compared.
+    ignored. The whole of each text is compared, however long or repetitive; memory
+    is linear in the two texts.
     """
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, {FOUND}"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -225,14 +255,17 @@ def seeds_of(n: tuple[int, ...], shorter: bool):
     return run
 
 
-def joined_candidates(rows: DataFrame, items: DataFrame, seed: int, lengths: list[int]) -> DataFrame:
+def joined_candidates(rows: DataFrame, items: DataFrame, seed: int, lengths: list[int], salts: int = 16) -> DataFrame:
     """Documents and items that share a seed, each pair of a text and an item once, with both texts. Joins on seeds, then on the
-    texts' keys; nothing is collected."""
+    texts' keys; nothing is collected. A seed may be in very many documents, so these are dealt over ``salts`` parts and the items'
+    seeds go to each."""
     rows = rows.withColumn("key", F.xxhash64("doc_id", whole("text")))
     items = items.withColumn("item_key", F.xxhash64("item_id", whole("item_text")))
     of_items = items.select("item_key", "item_text").distinct().mapInArrow(seeds_of((seed,), True), "item_key long, seed long")
     of_docs = rows.select("key", "text").mapInArrow(seeds_of(tuple(lengths), False), "key long, seed long")
-    pairs = of_docs.join(of_items, "seed").select("key", "item_key").distinct()
+    of_docs = of_docs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    of_items = of_items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = of_docs.join(of_items, ["seed", "salt"]).select("key", "item_key").distinct()
     return rows.join(pairs, "key").join(items.distinct(), "item_key")
 
 

@@ -47,6 +47,27 @@ def test_long_match_restarts_the_search():
     assert D.tiles(np.array(item, np.uint64), np.array([7, *item, 9], np.uint64), 3) == [(100, 0, 1)]
 
 
+def test_repetitive_texts_take_little_time_and_memory():
+    """One word over and over, two words by turns, and words whose runs have equal hashes."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.perf_counter()
+    for item, doc in (([1] * 1000, [1] * 20_000), ([1, 2] * 500, [1, 2, 1] * 6000), ([1 + k % 7 for k in range(3000)], [1 + k % 11 % 7 for k in range(20_000)])):
+        got = D.tiles(np.array(item, np.uint64), np.array(doc, np.uint64), 3)
+        assert all(item[i : i + n] == doc[j : j + n] for n, i, j in got)
+    assert D.tiles(np.ones(1000, np.uint64), np.ones(20_000, np.uint64), 3) == [(1000, 0, 0)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 << 20 and time.perf_counter() - began < 20
+    morse = [1 + (k.bit_count() & 1) for k in range(2048)]
+    other = [3 - w for w in morse]
+    assert D.Runs(np.array(morse, np.uint64)).windows(2048)[1] == D.Runs(np.array(other, np.uint64)).windows(2048)[1]
+    got = D.tiles(np.array(morse, np.uint64), np.array([*other, 0, *morse], np.uint64), 3)
+    assert got == [(2048, 0, 2049)]
+
+
 def cases():
     rng = random.Random(8)
     v = [f"w{k}" for k in range(400)]
