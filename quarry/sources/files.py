@@ -129,8 +129,10 @@ class _GitReader(DataSourceReader):
         import subprocess
 
         cmd = ["git", "-C", self.path, "log", "--reverse", "--name-only", "--relative", "--format=%x01%H%x00%an%x00%ct%x00%B%x02", *(["-n", self.most] if self.most else []), self.range]
-        out = subprocess.run(cmd, capture_output=True, text=True, check=True).stdout
-        for block in out.split("\x01")[1:]:
+        done = subprocess.run(cmd, capture_output=True, text=True)
+        if done.returncode:
+            raise RuntimeError(f"git log of {self.path} failed: {done.stderr.strip()}")
+        for block in done.stdout.split("\x01")[1:]:
             head, _, files = block.partition("\x02")
             h, author, ts, message = head.split("\0", 3)
             yield h, author, int(ts), message.strip(), [f for f in files.split("\n") if f]

@@ -104,12 +104,35 @@ def test_files(spark, tmp_path):
     assert [(r.line, r.text) for r in S.lines_matching(chunks, "two").collect()] == [(10, "one Two")] and S.lines_matching(chunks, "TWO").collect() == []
 
 
-def test_git_source(spark):
-    from tests.conftest import ROOT
-
+def _repository(at) -> list[str]:
+    """A small repository of its own; the hashes of its commits in order."""
+    import os
+    import subprocess
+
+    env = os.environ | {f"GIT_{who}_{what}": v for who in ("AUTHOR", "COMMITTER") for what, v in (("NAME", "A B"), ("EMAIL", "a@b.c"))}
+    env |= {"GIT_CONFIG_GLOBAL": os.devnull, "GIT_CONFIG_SYSTEM": os.devnull}
+    run = lambda *a: subprocess.run(["git", "-C", str(at), *a], env=env, capture_output=True, text=True, check=True).stdout.strip()
+    run("init", "-q", ".")
+    out = []
+    for k, (name, text) in enumerate([("a.py", "x = 1\n"), ("b.py", "y = 2\n"), ("a.py", "x = 1\nz = 3\n"), ("d/c.py", "q\n")]):
+        (at / name).parent.mkdir(exist_ok=True)
+        (at / name).write_text(text)
+        run("add", "-A")
+        env["GIT_AUTHOR_DATE"] = env["GIT_COMMITTER_DATE"] = f"{1_700_000_000 + k} +0000"
+        run("commit", "-q", "-m", f"change {k}\n\nmore")
+        out.append(run("rev-parse", "HEAD"))
+    return out
+
+
+def test_git_source(spark, tmp_path):
+    hashes = _repository(tmp_path)
     spark.dataSource.register(S.GitLog)
-    rows = spark.read.format("git_log").option("most", "3").load(str(ROOT)).collect()
-    assert len(rows) == 3 and all(len(r["hash"]) == 40 and r.message for r in rows)
+    read = lambda **o: [tuple(r) for r in spark.read.format("git_log").options(**o).load(str(tmp_path)).collect()]
+    files = [["a.py"], ["b.py"], ["a.py"], ["d/c.py"]]
+    want = [(h, "A B", 1_700_000_000 + k, f"change {k}\n\nmore", f) for k, (h, f) in enumerate(zip(hashes, files, strict=True))]
+    assert read() == want and read(most="3") == want[1:] and read(range=f"{hashes[1]}..HEAD") == want[2:]
+    with pytest.raises(Exception, match="unknown revision|bad revision"):
+        read(range="nosuch")
     assert S.parse_blame("a" * 40 + " 1 7 2\nauthor x\n\tline\n" + "b" * 40 + " 3 8\n\tline2") == [(7, "a" * 40), (8, "b" * 40)]
 
 
