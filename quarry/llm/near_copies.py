@@ -6,10 +6,15 @@ share a bucket with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Every
 candidate is confirmed on the whole shingle sets.
 
 In a bucket all are first compared with its least text. What is then in one
-component needs no more comparing; in buckets that still hold several components
-every two texts of different ones are compared. So a group of copies of one text
-costs about as many comparisons as it has texts, and no candidate is left out; a
-large group that shares buckets without being similar costs the square.
+component needs no more comparing, so a group of copies of one text costs about
+as many comparisons as it has texts. The texts of buckets that still hold several
+components often share a passage without being similar, and there may be very many
+of them. These are joined exactly, on their rare shingles: with the shingles of
+each text in order of how many of the texts have them, two similar texts have one
+in common among their first, whose number follows from the similarity (prefix
+filter), and their sizes and the place of the first common one must allow for the
+similarity as well (length and positional filters). Shingles of a passage that
+many texts share come last, and bring no pairs about.
 """
 
 from __future__ import annotations
@@ -94,6 +99,41 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return cut(pairs.join(left, "a").join(right, "b").select("one", "other").mapInArrow(_confirm(words, similarity), "a long, b long").distinct())
 
 
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                sets = [shingles(t, words) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                size = np.array([len(x) for x in sets])
+                row = np.repeat(np.arange(len(sets)), size)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64))], ["key", "size", "shingle"])
+
+    return run
+
+
+def prefix_pairs(named: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """named (key, component), each key once, and texts (key, text). Pairs (a, b) of the named texts in different components, among
+    which are all that are similar.
+
+    A shingle's rank is how many of the texts have it, then its hash; those that one text has come first and need not be joined. A
+    text's list is as long as the text; a shingle of very many texts is a skewed join, which Spark can split, and seldom in a prefix.
+    """
+    of = texts.join(named.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets(words), "key long, size int, shingle long")
+    counts = of.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    listed = of.join(counts, "shingle").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    alone = F.col("size") - F.size("common")
+    reach = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    listed = listed.withColumn("alone", alone).withColumn("common", F.slice("common", F.lit(1), F.greatest(F.lit(0), reach - alone).cast("int")))
+    early = cut(listed.select("key", "size", F.col("alone").alias("alone"), F.posexplode("common").alias("at", "ranked")).join(named, "key").select(
+        F.col("ranked.shingle").alias("shingle"), "key", "size", "component", (F.col("size") - F.col("alone") - F.col("at")).alias("rest")
+    ))
+    x, y = early.alias("x"), early.alias("y")
+    enough = similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-9
+    fits = (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.least("x.rest", "y.rest") >= enough) & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-9)
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, threshold: int = 3) -> DataFrame:
     """(doc_id, component_id) for each row of docs: the smallest doc_id reachable over links between texts whose fingerprints differ
     in ``threshold`` bits or fewer, or whose shingles of ``words`` words are similar. Nulls and repeated rows as in
@@ -111,9 +151,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = members.join(found, members["fp"] == found["node"], "left").select("bucket", "key", F.coalesce("component", "fp").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = cut(named.join(mixed, "bucket", "left_semi").distinct())
-    right = left.select("bucket", F.col("key").alias("other"), F.col("component").alias("its"))
-    second = left.join(right, "bucket").where("component < its").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    left = cut(named.join(mixed, "bucket", "left_semi").select("key", "component").distinct())
+    second = prefix_pairs(left, texts, words, similarity)
     more = _confirmed(second.join(first, ["a", "b"], "left_anti"), texts, words, similarity)
     if not more.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

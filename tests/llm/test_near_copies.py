@@ -50,3 +50,26 @@ def test_bucket_shared_as_often_as_expected():
         s = N.np.array([rng.getrandbits(64) for _ in range(110)], N.np.uint64)
         hit += bool(set(N.buckets(s[:90]).tolist()) & set(N.buckets(s[10:]).tolist()))  # 80 of 110: 0.73
     assert hit > 290
+
+
+def test_prefix_pairs_lose_no_similar_pair(spark):
+    """Against all pairs; and texts that share most of a passage make few pairs."""
+    rng = random.Random(6)
+    v = [f"w{k}" for k in range(300)]
+    passage, texts = rng.choices(v, k=60), []
+    for k in range(120):
+        w = passage + rng.choices(v, k=25) if k % 2 else rng.choices(v, k=rng.choice([1, 4, 5, 6, 30, 80]))
+        texts.append(" ".join(w))
+        for _ in range(k % 3):
+            e = list(w)
+            e[rng.randrange(len(e))] = rng.choice(v)
+            texts.append(" ".join(e))
+    texts = list(dict.fromkeys(texts))
+    sets = [slow_shingles(t) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8}
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    named = df.select("key", N.F.col("key").alias("component"))
+    got = {(r.b, r.a) for r in N.prefix_pairs(named, df, 5, 0.8).collect()}
+    assert len(want) > 50 and want <= got and len(got) < len(want) + 200
+    one = named.withColumn("component", N.F.lit(1).cast("long"))
+    assert N.prefix_pairs(one, df, 5, 0.8).collect() == [] and N.prefix_pairs(named.limit(0), df, 5, 0.8).collect() == []
