@@ -30,6 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """df, a table of few columns of numbers, to be sent to every task if it has no more than so many rows; else it is joined like
+    any other. The result is the same; sending it saves shuffling the texts on the other side."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, found: DataFrame, id_col: str, stays) -> DataFrame:
+    """The rows of docs whose identifier is in a row of found (doc_id, ...) for which ``stays`` holds. found has all of docs' identifiers;
+    those to go are mostly far fewer."""
+    gone = cut(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(stays).alias("__stays")).where("not __stays").select("__id"))
+    gone = small_side(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, whole
+from quarry.llm.common import cut, small_side, whole, without
 from quarry.llm.components import connected_components
 from quarry.llm.decontaminate import BASE, windows
 from quarry.llm.simhash import SEED, fingerprint, fingerprint_links, homes
@@ -93,8 +93,8 @@ def _confirm(words: int, similarity: float):
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (a, b) between fingerprints of those pairs (a, b) of text keys that are similar."""
     pairs = cut(pairs)
-    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = cut(texts.join(named, "key", "left_semi").dropDuplicates(["key"]))
+    named = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    texts = cut(texts.join(small_side(named), "key", "left_semi").dropDuplicates(["key"]))
     left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("one")), texts.select(F.col("key").alias("b"), F.col("text").alias("other"))
     return cut(pairs.join(left, "a").join(right, "b").select("one", "other").mapInArrow(_confirm(words, similarity), "a long, b long").distinct())
 
@@ -119,7 +119,7 @@ def prefix_pairs(named: DataFrame, texts: DataFrame, words: int, similarity: flo
     A shingle's rank is how many of the texts have it, then its hash; those that one text has come first and need not be joined. A
     text's list is as long as the text; a shingle of very many texts is a skewed join, which Spark can split, and seldom in a prefix.
     """
-    of = texts.join(named.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets(words), "key long, size int, shingle long")
+    of = texts.join(small_side(named.select("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets(words), "key long, size int, shingle long")
     counts = of.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     listed = of.join(counts, "shingle").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common"))
     alone = F.col("size") - F.size("common")
@@ -165,5 +165,4 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, threshold: int = 3) -> DataFrame:
     """The rows of docs with the smallest identifier of their component, with docs' columns; rows without an identifier stay if their component has none."""
     found = near_components(docs, id_col, text_col, words, similarity, threshold)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
+    return without(docs, found, id_col, F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, shuffle_parts
+from quarry.llm.common import cut, shuffle_parts, without
 from quarry.llm.components import connected_components
 
 SEED = 42
@@ -244,5 +244,4 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 3) -> DataFrame:
     """The rows of docs with the smallest identifier of their component, with docs' columns; rows without an identifier stay if their component has none."""
     found = simhash_components(docs, id_col, text_col, words, threshold)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
+    return without(docs, found, id_col, F.col("doc_id").eqNullSafe(F.col("component_id")))
