@@ -9,12 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text as T
-
-
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has so few rows; reads no more than it must to tell."""
-    return df.limit(rows + 1).count() <= rows
+from quarry.operators import textindex
 
 
 def top_k(scored: DataFrame, k: int, *more) -> DataFrame:
@@ -23,67 +18,62 @@ def top_k(scored: DataFrame, k: int, *more) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def token_rows(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """(chunk_id, length, term): a row for each token."""
-    t = chunks.select("chunk_id", T.tokens(text).alias("t"))
-    return t.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-
-
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
     """(chunk_id, term, tf, length)."""
-    return token_rows(chunks, text).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def text_stats(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """One row: n chunks and their mean length in tokens."""
-    return chunks.select(F.size(T.tokens(text)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    return textindex.counted(chunks, [text]).select("chunk_id", "term", "tf", "length")
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, text: str = "content", k1: float = 1.2, b: float = 0.75, weight: float = 1.0) -> DataFrame:
-    """Scores of all chunks that share a term with a query (query_id, query). A query's repeated terms count as often.
-
-    Tokens that no query has are dropped before the first shuffle; a term's frequency
-    over the chunks is counted from what remains.
-    """
-    q = queries.select("query_id", F.explode(T.tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    found = token_rows(chunks, text).join(q.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = text_stats(chunks, text)
-    q = q.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    one = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return found.join(q, "term").groupBy("query_id", "chunk_id").agg((weight * F.sum(one)).alias("score"))
+    """Scores of all chunks that share a term with a query (query_id, query), for chunks that have no stored index: their tokens are
+    counted for this search. See TextIndex.bm25."""
+    return textindex.passing(chunks, [text]).bm25(queries, {text: weight}, k1, b)
 
 
 def bm25_fields(chunks: DataFrame, queries: DataFrame, fields: dict[str, float]) -> DataFrame:
     """BM25 of each field with statistics of its own, weighted and added."""
-    each = [bm25(chunks, queries, f, weight=w) for f, w in fields.items()]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionByName(e)
-    return out.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+    return textindex.passing(chunks, list(fields)).bm25(queries, fields)
 
 
-def exact(chunks: DataFrame, queries: DataFrame, text: str = "content", most_queries: int = 2000) -> DataFrame:
+def exact(chunks: DataFrame, queries: DataFrame, text: str = "content", most_queries: int = 20_000) -> DataFrame:
     """(query_id, chunk_id, score 1.0) where the text contains the query, in either case.
 
-    A few queries (up to ``most_queries``) are sent to every task. More of them are
-    joined on their longest token first, so that only texts with that token are
-    searched; queries without a token are too few words to index and are searched for
-    everywhere.
+    The queries go to the tasks as automata (Aho-Corasick) of about ``most_queries``, or 16 MB, each; a task reads each text once for an automaton,
+    whatever the number of queries in it. Nothing is shuffled and no text meets a query that it doesn't contain.
     """
-    c = chunks.select("chunk_id", F.lower(text).alias("t"))
-    q = queries.select("query_id", F.lower("query").alias("q")).where(F.length("q") > 0)
-    hit = F.contains(F.col("t"), F.col("q"))
-    if small(q, most_queries):
-        return c.join(F.broadcast(q), hit).select("query_id", "chunk_id", F.lit(1.0).alias("score"))
-    runs = F.regexp_extract_all("q", F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    inner = F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0)))  # the first and last word may be parts of longer ones
-    keyed = q.withColumn("key", F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"])
-    words = c.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("key"))
-    pairs = words.join(keyed.where("key is not null"), "key").select("query_id", "chunk_id", "q")
-    some = pairs.join(c, "chunk_id").where(hit)
-    rest = c.join(keyed.where("key is null"), hit)
-    return some.select("query_id", "chunk_id").unionByName(rest.select("query_id", "chunk_id")).select("query_id", "chunk_id", F.lit(1.0).alias("score"))
+    c = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower(text).alias("t")).where("t <> ''")
+    q = queries.select("query_id", F.lower("query").alias("q")).where("q <> ''")
+    r, out = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0)).alias("size")).first(), None
+    blocks = max(1, -(-r.n // max(1, most_queries)), -(-r.size // (16 << 20)))
+    for block in range(blocks):
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)).collect()
+        sent = chunks.sparkSession.sparkContext.broadcast([(r.query_id, r.q) for r in rows])
+        one = c.mapInArrow(_containing(sent), "query_id long, chunk_id long, score double")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _containing(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        of: dict[str, list[int]] = {}
+        for i, q in sent.value:
+            of.setdefault(q, []).append(i)
+        a = ahocorasick.Automaton()
+        for q, ids in of.items():
+            a.add_word(q, ids)
+        if of:
+            a.make_automaton()
+        for b in batches if of else ():
+            ids, own = [], []
+            for chunk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                met = {id(found): found for _, found in a.iter(t)}
+                for found in met.values():
+                    ids += found
+                    own += [chunk] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array([1.0] * len(ids), pa.float64())], ["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def _matrix(df: DataFrame, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +116,18 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 50
 
 def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, most_tokens: int = 20_000) -> DataFrame:
     """Late interaction: for each query token (query_id, pos, vector) the largest dot product with a chunk's tokens (chunk_id,
-    vector), summed over the query's tokens. A task passes on the largest of each of its batches."""
-    if not small(query_tokens, most_tokens):
-        raise ValueError(f"more than {most_tokens} query tokens; give them in several batches")
-    rows = query_tokens.select("query_id", "pos", "vector").orderBy("query_id", "pos").collect()
+    vector), summed over the query's tokens. A task passes on the largest of each of its batches. Queries go to the tasks in blocks of
+    about ``most_tokens`` tokens."""
+    n, out = query_tokens.count(), None
+    blocks = max(1, -(-n // most_tokens))
+    for block in range(blocks):
+        part = query_tokens if blocks == 1 else query_tokens.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        one = _maxsim(doc_tokens, part.select("query_id", "pos", "vector").orderBy("query_id", "pos").collect())
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _maxsim(doc_tokens: DataFrame, rows: list) -> DataFrame:
     sent = doc_tokens.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64).reshape(len(rows), -1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources.shared import cut
 
 #: Decay by edge kind, second hop, and how many chunks may be added (a divisor of the number of candidates).
 PRESETS = {
@@ -20,14 +19,6 @@ PRESETS = {
 }
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the cluster's checkpoint folder; only where none is set, in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
-
-
 def directed(calls: DataFrame, type_refs: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """(src, dst): calls one way, references and hierarchy both ways. Repeated edges weigh more and stay; loops go."""
     both = type_refs.select("src", "dst").unionByName(hierarchy.select("src", "dst"))
@@ -78,17 +69,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
     e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
     dead = cut(nodes.join(e.select(F.col("src").alias("chunk_id")).distinct(), "chunk_id", "left_anti"))
-    rank = nodes.withColumn("centrality", F.lit(1.0 / n))
+    nodes = cut(nodes.join(dead.withColumn("dead", F.lit(True)), "chunk_id", "left").withColumn("dead", F.coalesce("dead", F.lit(False))))
+    rank, lost = nodes.withColumn("centrality", F.lit(1.0 / n)), nodes.where("dead").count() / n
     for _ in range(iterations):
-        lost = rank.join(dead, "chunk_id", "left_semi").agg(F.coalesce(F.sum("centrality"), F.lit(0.0)).alias("s")).first().s
         got = e.join(rank, e["src"] == rank["chunk_id"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("centrality")).alias("g"))
-        new = nodes.join(got, nodes["chunk_id"] == got["dst"], "left").select("chunk_id", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + lost / n)).alias("centrality"))
+        was = rank.select(F.col("chunk_id").alias("__id"), F.col("centrality").alias("was"))
+        new = rank.select("chunk_id", "dead").join(got, rank["chunk_id"] == got["dst"], "left").join(was, F.col("chunk_id") == F.col("__id"))
+        new = new.select("chunk_id", "dead", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + lost / n)).alias("centrality"), "was")
         new = cut(new)
-        change = new.join(rank.withColumnRenamed("centrality", "was"), "chunk_id").agg(F.sum(F.abs(F.col("centrality") - F.col("was"))).alias("d")).first().d
-        rank = new
-        if change < tolerance:
+        # the mass that the next round spreads and the change, from one pass
+        r = new.agg(F.coalesce(F.sum(F.when(F.col("dead"), F.col("centrality"))), F.lit(0.0)).alias("lost"), F.sum(F.abs(F.col("centrality") - F.col("was"))).alias("change")).first()
+        rank, lost = new.drop("was"), r.lost
+        if r.change < tolerance:
             break
-    return rank
+    return rank.select("chunk_id", "centrality")
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:

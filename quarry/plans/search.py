@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.stem import decompose, expand_queries, facets, synonym_table
 from quarry.operators import channels as C
-from quarry.operators import cut, fusion, graph, relational, rescore
+from quarry.operators import cut, fusion, graph, relational, rescore, textindex
+from quarry.operators.textindex import TextIndex
 from quarry.sources.files import NOT_CODE, extension_filter
+from quarry.sources.shared import new_folder
+
+
+#: What BM25 reads of a chunk, and how heavy it is.
+FIELDS = {"content": 1.0, "file_path": 2.0}
 
 
 @dataclass(frozen=True)
@@ -41,30 +47,39 @@ class SearchSpec:
 @dataclass
 class Index:
     """chunks (chunk_id, file_path, content, start_line, end_line, name); vectors (chunk_id, vector); edges (src, dst, kind);
-    imports (importer, imported). encode gives a query's vector from its text column, for queries that bring none."""
+    imports (importer, imported). encode gives a query's vector from its text column, for queries that bring none. text is the stored
+    text index of the chunks; where none is given one is built at the first search and kept."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
     edges: DataFrame | None = None
     imports: DataFrame | None = None
     encode: Callable | None = None
+    text: TextIndex | None = None
     more: dict = field(default_factory=dict)
 
+    def text_index(self) -> TextIndex:
+        if self.text is None:
+            self.text = textindex.store(self.chunks, list(FIELDS), new_folder(self.chunks.sparkSession, "text-index"))
+        return self.text
+
 
 def _wanted(index: Index, spec: SearchSpec) -> DataFrame:
     return index.chunks.where(extension_filter("file_path", list(spec.include), list(spec.exclude))) if spec.include or spec.exclude else index.chunks
 
 
 def retrieve(index: Index, queries: DataFrame, spec: SearchSpec) -> DataFrame:
-    """(query_id, chunk_id, score, channel) of the channels that the spec asks for. The file filter comes before any scoring."""
+    """(query_id, chunk_id, score, channel) of the channels that the spec asks for. The file filter comes before any scoring; BM25's
+    statistics are those of the whole index."""
     chunks, lists = _wanted(index, spec), {}
+    among = chunks.select("chunk_id") if spec.include or spec.exclude else None
     texts = queries.select("query_id", (T.merge_pattern("query", F.lit(spec.regex)) if spec.regex else F.col("query")).alias("query"))
     best = lambda df: C.top_k(df.withColumn("score", F.round("score", 9)), spec.candidates).drop("rank")
     wide = expand_queries(texts, synonym_table(chunks.sparkSession)) if spec.expand else None
     if spec.sparse:
-        lists["sparse"] = best(C.bm25(chunks, texts))
+        lists["sparse"] = best(index.text_index().bm25(texts, FIELDS, among=among))
         if wide is not None:
-            lists["exp_sparse"] = best(C.bm25(chunks, wide))
+            lists["exp_sparse"] = best(index.text_index().bm25(wide, FIELDS, among=among))
     if spec.dense and index.vectors is not None and ("vector" in queries.columns or index.encode):
         own = index.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if spec.include or spec.exclude else index.vectors
         q = queries.select("query_id", "vector") if "vector" in queries.columns else texts.select("query_id", index.encode("query").alias("vector"))

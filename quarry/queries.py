@@ -90,7 +90,8 @@ COMMITS = """
 
 
 def bm(spark, sf) -> DataFrame:
-    return rounded(C.bm25(S.chunks(spark, sf), S.queries(spark, sf)))
+    """From the stored index: no text is read."""
+    return rounded(S.text_index(spark, sf).bm25(S.queries(spark, sf), {"content": 1.0}))
 
 
 def dense(spark, sf, k: int = 100) -> DataFrame:
@@ -202,6 +203,19 @@ def bm25_multi_query(spark, sf):
     return bm(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
 
 
+FIELDS = f"""{BM25}, fp AS (SELECT doc_id AS chunk_id, {toks(PATH)} AS ts FROM documents), fs AS (SELECT count(*) AS n, avg(len(ts)) AS ml FROM fp), f1 AS (SELECT chunk_id, len(ts) AS length, unnest(ts) AS term FROM fp),
+    ft AS (SELECT chunk_id, term, count(*) AS tf, any_value(length) AS length FROM f1 GROUP BY 1, 2), fd AS (SELECT term, count(*) AS df FROM ft GROUP BY 1),
+    both_ AS (SELECT query_id, chunk_id, qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / ml)) AS s FROM tf JOIN qt USING (term) JOIN df USING (term), st
+              UNION ALL SELECT query_id, chunk_id, 2 * qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / ml)) FROM ft JOIN qt USING (term) JOIN fd USING (term), fs),
+    bf AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score FROM both_ GROUP BY 1, 2)"""
+
+
+@query(f"WITH {FIELDS} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bf) WHERE rank <= 10")
+def bm25_fields(spark, sf):
+    """Texts and, twice as heavy, paths."""
+    return out(C.top_k(rounded(S.text_index(spark, sf).bm25(S.queries(spark, sf), {"content": 1.0, "file_path": 2.0})), 10), "rank")
+
+
 @query(f"WITH {EXACT} SELECT query_id, chunk_id FROM ex")
 def exact_match(spark, sf):
     return C.exact(S.chunks(spark, sf), S.queries(spark, sf)).select("query_id", "chunk_id")

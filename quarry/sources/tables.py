@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import textindex
+from quarry.sources.shared import new_folder
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -22,6 +25,20 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), path.alias("file_path"), F.col("text").alias("content"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), "source", "lang")
 
 
+_indexes: dict = {}
+
+
+def text_index(spark: SparkSession, folder: str) -> textindex.TextIndex:
+    """The stored text index of the documents, over their texts and paths. It is built where the application has none for just these
+    files (by names, sizes and times) and then serves all its searches."""
+    files = spark.read.format("binaryFile").load(f"{folder}/documents.parquet").select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+    stamp = files.agg(F.count("*").alias("n"), F.bit_xor("h").alias("h")).first()
+    key = (spark.sparkContext.applicationId, folder, stamp.n, stamp.h)
+    if key not in _indexes:
+        _indexes[key] = textindex.store(chunks(spark, folder), ["content", "file_path"], new_folder(spark, "text-index"))
+    return _indexes[key]
+
+
 def queries(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
