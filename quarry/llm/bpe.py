@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidy
+
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts of these characters alone (ASCII and Latin letters) are split by ``Split``, many at a time. Beyond ASCII all are letters.
@@ -216,7 +218,7 @@ class Codec:
                 known[pieces[i]] = x
         return found
 
-    def encode_all(self, texts: list[str], room: int = 1 << 20) -> list[bytes]:
+    def encode_all(self, texts: list[str], room: int = 1 << 18) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers. The strings of added tokens in a text are those tokens.
         About ``room`` characters are worked on at a time; a longer text is cut before single blanks, where pieces begin anyway."""
         out, group, size = [], [], 0
@@ -318,7 +320,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, ids: bool) -> D
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -332,4 +334,4 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"doc_id {rows.schema[id_col].dataType.simpleString()}, text string")
+    return rows.select(F.col(id_col), F.col(ids_col)).mapInArrow(tidy(run), f"doc_id {rows.schema[id_col].dataType.simpleString()}, text string")

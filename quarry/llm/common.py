@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import cut, new_folder, shared_dir
+
+__all__ = ["cut", "new_folder", "shared_dir", "shuffle_parts", "small_side", "table", "tidy", "whole", "without"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the cluster's spark.checkpoint.dir.
-
-    Only where none is set (tests on one machine) a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
-    return sc.getCheckpointDir()
+def tidy(run):
+    """A function of Arrow batches that gives freed memory back to the system when its task is done: Python workers live on and serve
+    other stages, beside those of the JVM."""
 
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return wrapped
 
 
 def small_side(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
@@ -44,10 +44,6 @@ def without(docs: DataFrame, found: DataFrame, id_col: str, stays) -> DataFrame:
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import whole
+from quarry.llm.common import tidy, whole
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -200,9 +200,9 @@ def find_leaks(
                     at, item, *rest = zip(*found, strict=True)
                     yield _batch(b.column(0).take(pa.array(at)), pa.array(item, kind), rest)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidy(run), schema)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text"))
-    lengths = sorted({r.n for r in items.select("item_text").mapInArrow(_seed_lengths(seed), "n int").distinct().collect()} | {seed})
+    lengths = sorted({r.n for r in items.select("item_text").mapInArrow(tidy(_seed_lengths(seed)), "n int").distinct().collect()} | {seed})
     pairs = joined_candidates(rows, items, seed, lengths)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def find_leaks(
             if at:
                 yield _batch(b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), zip(*(got[r] for r in at), strict=True))
 
-    return pairs.select("doc_id", "text", "item_id", "item_text").mapInArrow(verify, schema)
+    return pairs.select("doc_id", "text", "item_id", "item_text").mapInArrow(tidy(verify), schema)
 
 
 def _batch(doc_id: pa.Array, item_id: pa.Array, rest) -> pa.RecordBatch:
@@ -261,8 +261,8 @@ def joined_candidates(rows: DataFrame, items: DataFrame, seed: int, lengths: lis
     seeds go to each."""
     rows = rows.withColumn("key", F.xxhash64("doc_id", whole("text")))
     items = items.withColumn("item_key", F.xxhash64("item_id", whole("item_text")))
-    of_items = items.select("item_key", "item_text").distinct().mapInArrow(seeds_of((seed,), True), "item_key long, seed long")
-    of_docs = rows.select("key", "text").mapInArrow(seeds_of(tuple(lengths), False), "key long, seed long")
+    of_items = items.select("item_key", "item_text").distinct().mapInArrow(tidy(seeds_of((seed,), True)), "item_key long, seed long")
+    of_docs = rows.select("key", "text").mapInArrow(tidy(seeds_of(tuple(lengths), False)), "key long, seed long")
     of_docs = of_docs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
     of_items = of_items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     pairs = of_docs.join(of_items, ["seed", "salt"]).select("key", "item_key").distinct()
@@ -278,7 +278,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             for b in batches:
                 yield b.filter(pa.array([not sent.value.leaks(t, least, threshold) for t in b.column(k).to_pylist()], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
     named = docs.withColumn("__text", F.sha2(whole(text_col), 256))
     once = named.select("__text", text_col).groupBy("__text").agg(F.first(text_col).alias("text"))
     bad = find_leaks(once, benchmark, "__text", "text", item_col, item_text_col, seed, least, threshold, broadcast_bytes).select(F.col("doc_id").alias("__text")).distinct()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, shuffle_parts, whole
+from quarry.llm.common import cut, shuffle_parts, tidy, whole
 
 KEY = ("digest", "n_bytes", "check")
 RUN = "node int, digest binary, n_bytes long, check long, keep_id long, group_size long"
@@ -88,12 +88,12 @@ def merged_runs(rows: DataFrame, keep: str = "largest", fan_in: int = 4, shards:
     merge = _merger(keep)
     runs = rows.select((F.spark_partition_id() % n).alias("node"), *KEY, F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     order = ("node", *KEY)
-    runs = runs.sortWithinPartitions(*order).mapInArrow(merge, RUN)
+    runs = runs.sortWithinPartitions(*order).mapInArrow(tidy(merge), RUN)
     for r in range(rounds):
         digit = F.floor(shard / fan_in**r) % fan_in
         own = F.floor(F.col("node") / fan_in**r) % fan_in
         runs = runs.withColumn("node", (F.col("node") + (digit - own) * fan_in**r).cast("int"))
-        runs = runs.repartition(n, "node").sortWithinPartitions(*order).mapInArrow(merge, RUN)
+        runs = runs.repartition(n, "node").sortWithinPartitions(*order).mapInArrow(tidy(merge), RUN)
     return runs.drop("node")
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, small_side, whole, without
+from quarry.llm.common import cut, small_side, tidy, whole, without
 from quarry.llm.components import connected_components
 from quarry.llm.decontaminate import BASE, windows
 from quarry.llm.simhash import SEED, fingerprint, fingerprint_links, homes
@@ -96,7 +96,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     named = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
     texts = cut(texts.join(small_side(named), "key", "left_semi").dropDuplicates(["key"]))
     left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("one")), texts.select(F.col("key").alias("b"), F.col("text").alias("other"))
-    return cut(pairs.join(left, "a").join(right, "b").select("one", "other").mapInArrow(_confirm(words, similarity), "a long, b long").distinct())
+    return cut(pairs.join(left, "a").join(right, "b").select("one", "other").mapInArrow(tidy(_confirm(words, similarity)), "a long, b long").distinct())
 
 
 def _sets(words: int):
@@ -119,7 +119,7 @@ def prefix_pairs(named: DataFrame, texts: DataFrame, words: int, similarity: flo
     A shingle's rank is how many of the texts have it, then its hash; those that one text has come first and need not be joined. A
     text's list is as long as the text; a shingle of very many texts is a skewed join, which Spark can split, and seldom in a prefix.
     """
-    of = texts.join(small_side(named.select("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets(words), "key long, size int, shingle long")
+    of = texts.join(small_side(named.select("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(tidy(_sets(words)), "key long, size int, shingle long")
     counts = of.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     listed = of.join(counts, "shingle").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common"))
     alone = F.col("size") - F.size("common")
@@ -139,7 +139,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in ``threshold`` bits or fewer, or whose shingles of ``words`` words are similar. Nulls and repeated rows as in
     simhash_components."""
     texts = docs.select(F.xxhash64(whole(text_col)).alias("key"), whole(text_col).cast("string").alias("text"))
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(_marks(words), "doc_id long, key long, fp long, home int, buckets array<long>"))
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_marks(words)), "doc_id long, key long, fp long, home int, buckets array<long>"))
     each = rows.groupBy("fp", "home").agg(F.min("doc_id").alias("least"))
     linked = fingerprint_links(each.select("fp", "home"), threshold)
 

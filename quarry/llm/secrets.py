@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidy
+
 #: The base patterns, and how long a match must be. ASCII letters of the first match in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -154,7 +156,7 @@ def find_secrets(docs: DataFrame, samples: list[tuple[int, str]] | None = None,
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array([joined(s) for s in every], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def labelled(df: DataFrame, label_col: str, text_col: str, most: int = 20_000) -> list[tuple[int, str]]:

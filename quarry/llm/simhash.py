@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, shuffle_parts, without
+from quarry.llm.common import cut, shuffle_parts, tidy, without
 from quarry.llm.components import connected_components
 
 SEED = 42
@@ -213,14 +213,14 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 3, slice_rows: int =
     if not 0 <= threshold <= 3:
         raise ValueError("the code's tables reach up to three bits")
     full = distinct.groupBy(F.col("home").alias("anchor")).count().where(F.col("count") > slice_rows).select("anchor", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
-    visit = distinct.select("fp").mapInArrow(_replicate(threshold), "anchor int, fp long")
+    visit = distinct.select("fp").mapInArrow(tidy(_replicate(threshold)), "anchor int, fp long")
     if full.isEmpty():
         visit = visit.select("anchor", "fp", F.lit(0).alias("slice"), F.lit(1).alias("slices"))
     else:
         visit = visit.join(full, "anchor", "left").select("anchor", "fp", F.coalesce("slices", F.lit(1)).alias("slices"))
         visit = visit.select("anchor", "fp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "slices")
     dealt = visit.repartition(shuffle_parts(distinct.sparkSession), "anchor", "slice").sortWithinPartitions("anchor", "slice")
-    return dealt.select("anchor", "fp", "slice", "slices").mapInArrow(_compare(threshold), "a long, b long")
+    return dealt.select("anchor", "fp", "slice", "slices").mapInArrow(tidy(_compare(threshold)), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 3, slice_rows: int = 20_000) -> DataFrame:
@@ -232,7 +232,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component, and never its smallest; a component of null identifiers only has a
     null component_id. Repeated rows each appear. Other columns are ignored.
     """
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, fp long, home int"))
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_fingerprints(words)), "doc_id long, fp long, home int"))
     each = rows.groupBy("fp", "home").agg(F.min("doc_id").alias("least"))
     found = connected_components(fingerprint_links(each.select("fp", "home"), threshold, slice_rows))
     named = cut(each.join(found, each["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import Codec, packed, vocabulary
-from quarry.llm.common import cut, new_folder, shuffle_parts
+from quarry.llm.common import cut, new_folder, shuffle_parts, tidy
 
 MAGIC, VERSION, WIDTHS, BLOCK = b"DACF", 1, (8, 8, 8, 8), 512
 #: Pieces of ASCII and Latin letters, in UTF-8.
@@ -273,7 +273,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
     dealt = rows.repartitionByRange(files or shuffle_parts(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
-    written = cut(dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, MANIFEST))
+    written = cut(dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(tidy(run), MANIFEST))
     # one row a file, so this window is small at any size of the input
     order = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
     manifest = written.withColumn("start", F.coalesce(F.sum("ids").over(order), F.lit(0)))
@@ -298,7 +298,7 @@ def read_documents(manifest: DataFrame, digest: bool = False) -> DataFrame:
 
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>")
     n = shuffle_parts(manifest.sparkSession)
-    return manifest.select("path", "start").repartition(n, "path").mapInArrow(run, schema)
+    return manifest.select("path", "start").repartition(n, "path").mapInArrow(tidy(run), schema)
 
 
 def stored(docs: DataFrame, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

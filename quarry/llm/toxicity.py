@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidy
+
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was with as be by on are this from at have an they which or you not",
@@ -362,7 +364,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
@@ -376,4 +378,4 @@ def clean(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFra
                 part = b.slice(at, 2000)
                 yield part.filter(pa.array(sent.value.scores(part.column(k).to_pylist()) < sent.value.cut_score))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
