@@ -37,6 +37,7 @@ SPACE, LETTER, DIGIT, MARK, END = range(5)
 CLASS = np.array([END if b == 0 else LETTER if b > 127 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else SPACE if chr(b).isspace() else MARK for b in range(256)], np.uint8)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+SHORT, HIGH = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64), np.uint64(1 << 63)
 #: Where the letters and digits of the regex and tokenizers libraries agree, whatever Unicode version either has. A text with
 #: any other character is split by the tokenizers library.
 AGREED = re.compile("[^\0-\u052f\u2000-\u206f\u3000-\u9fff\uac00-\ud7a3]")
@@ -99,23 +100,28 @@ class Split:
             Split.down = np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]).cumprod(dtype=np.uint64)
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(self.up[: len(b)] * b, out=total[1:])
+        length = self.end - self.start
         h = (total[self.end] - total[self.start]) * self.down[self.start]
-        _, at, self.which = np.unique(h ^ h >> np.uint64(29) ^ (self.end - self.start).astype(np.uint64) << np.uint64(50), return_index=True, return_inverse=True)
+        # a piece of up to seven bytes is these and its length; a longer one has a hash with the highest bit set
+        words = np.ndarray((len(b),), "<u8", raw + bytes(8), strides=(1,))
+        short = length <= 7
+        key = np.where(short, words[self.start] & SHORT[np.minimum(length, 7)] | length.astype(np.uint64) << np.uint64(56), h ^ h >> np.uint64(29) | HIGH)
+        _, at, self.which = np.unique(key, return_index=True, return_inverse=True)
         #: the different pieces; which: of these, the one that stands in each place
         self.pieces = [raw[i:j] for i, j in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
-        self._confirm(b, kind, at)
+        self._confirm(b, length, np.flatnonzero(~short & (at[self.which] != np.arange(len(length)))), at)
 
-    def _confirm(self, b: np.ndarray, kind: np.ndarray, at: np.ndarray) -> None:
-        """Compares each piece's bytes with those of the piece that its hash makes it equal to; one that differs is a piece of its own."""
-        if not len(at):
+    def _confirm(self, b: np.ndarray, length: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+        """Compares the bytes of these pieces with those of the pieces that their hashes make them equal to; one that differs is a piece
+        of its own."""
+        if not len(rows):
             return
-        like = at[self.which]
-        place = np.arange(self.start[0], len(b)) + np.repeat(self.start[like] - self.start, np.diff(np.append(self.start, len(b))))
-        same = b[np.minimum(place, len(b) - 1)] == b[self.start[0] :]
-        same |= kind[self.start[0] :] == END  # between texts
-        agree = np.logical_and.reduceat(same, self.start - self.start[0]) & (self.end - self.start == (self.end - self.start)[like])
+        like, n = at[self.which[rows]], length[rows]
+        before = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) + np.repeat(self.start[rows] - before, n)
+        same = b[place] == b[np.minimum(place + np.repeat(self.start[like] - self.start[rows], n), len(b) - 1)]
         own: dict[bytes, int] = {}
-        for i in np.flatnonzero(~agree).tolist():
+        for i in rows[~(np.logical_and.reduceat(same, before) & (n == length[like]))].tolist():
             self.which[i] = own.setdefault(self.raw[self.start[i] : self.end[i]], len(self.pieces) + len(own))
         self.pieces += own
 

@@ -274,9 +274,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
     rows = rows.withColumn("hash", F.xxhash64("text"))
     dealt = rows.repartitionByRange(files or shuffle_parts(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     written = cut(dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(tidy(run), MANIFEST))
-    # one row a file, so this window is small at any size of the input
-    order = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = written.withColumn("start", F.coalesce(F.sum("ids").over(order), F.lit(0)))
+    # files are added up within their range, and then the ranges, of which there are as many as partitions
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = written.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", before(Window.orderBy("part")).alias("__start"))
+    manifest = written.withColumn("start", before(Window.partitionBy("part").orderBy("no"))).join(ranges, "part").withColumn("start", F.col("start") + F.col("__start")).drop("__start")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
