@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -106,7 +107,9 @@ class Split:
         words = np.ndarray((len(b),), "<u8", raw + bytes(8), strides=(1,))
         short = length <= 7
         key = np.where(short, words[self.start] & SHORT[np.minimum(length, 7)] | length.astype(np.uint64) << np.uint64(56), h ^ h >> np.uint64(29) | HIGH)
-        _, at, self.which = np.unique(key, return_index=True, return_inverse=True)
+        self.which, different = pd.factorize(key)
+        at = np.empty(len(different), np.int64)
+        at[self.which[::-1]] = np.arange(len(key))[::-1]  # where each comes first
         #: the different pieces; which: of these, the one that stands in each place
         self.pieces = [raw[i:j] for i, j in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
         self._confirm(b, length, np.flatnonzero(~short & (at[self.which] != np.arange(len(length)))), at)
