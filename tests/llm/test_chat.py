@@ -57,3 +57,18 @@ def test_oracle(spark, sf):
     from tests.oracle import assert_same, duck
 
     assert assert_same(QUERIES["op10_chat"](spark, sf), duck(sf), ORACLE_SQL["op10_chat"]) > 10
+
+
+def test_one_turn_number_over_and_over(spark):
+    """Very many turns of one number, or of none, are dealt over parts of a bounded size."""
+    rows = [(1, 4, "user", f"text {k % 700:03d}") for k in range(5000)] + [(2, None, "user", "again")] * 3000 + [(3, None, "user", "again")] * 2999
+    got = format_chats(spark.createDataFrame([(*r, "p") for r in rows], SCHEMA), 100).collect()
+    assert joined(got) == slow(rows) and {r.conv_id: len([x for x in got if x.conv_id == r.conv_id]) for r in got} == {1: 50, 2: 30}
+    assert all(r.text.count(START) == 100 for r in got)
+
+
+def test_plan(spark, sf):
+    """No Python, and texts are shuffled no more than to be placed and to be put together."""
+    plan = format_chats(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "InArrow", "InPandas", "Scan parquet"))
+    assert plan.count("Exchange hashpartitioning") == 1
