@@ -69,3 +69,21 @@ def age(seconds_ago) -> Column:
     s = _c(seconds_ago)
     say = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))
     return F.when(s < 60, "just now").when(s < 3600, say(60, "m ago")).when(s < 86400, say(3600, "h ago")).when(s < 604800, say(86400, "d ago")).when(s < 2592000, say(604800, "w ago")).when(s < 31536000, say(2592000, "mo ago")).otherwise(say(31536000, "y ago"))
+
+
+def response_confidence(top, second) -> Column:
+    """none, low, medium or high: of a ranking's best score and how far the second lies below it."""
+    gap = _c(top) - F.coalesce(_c(second), F.lit(0.0))
+    return F.when(_c(top).isNull(), "none").when((_c(top) > 0.5) & (gap > 0.15), "high").when(_c(top) > 0.25, "medium").otherwise("low")
+
+
+def yes_no_score(logits, yes: int, no: int) -> Column:
+    """The share of yes between two of a re-ranker's logits; null where the list is too short."""
+    a, b = F.get(_c(logits), F.lit(yes)), F.get(_c(logits), F.lit(no))
+    m = F.greatest(a, b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.exp(a - m) / (F.exp(a - m) + F.exp(b - m)))
+
+
+def classifier_score(logits) -> Column:
+    """The last logit; null where there is none."""
+    return F.try_element_at(_c(logits), F.lit(-1))

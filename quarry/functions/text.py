@@ -124,29 +124,67 @@ def graph_preset(text) -> Column:
     return F.when(exhaustive_graph(text) | feature_planning(text), "localization").when(architectural(text), "architectural").otherwise(query_type(text))
 
 
-#: The route rules' phrases.
+#: The phrases of the route rules, each of which is looked for anywhere in the query in lower case.
+ARCHITECTURE = (
+    "main components", "main component", "primary components", "key components", "core components", "main modules", "primary subsystems", "key subsystems", "architecture overview",
+    "architectural overview", "system architecture", "high-level architecture", "high level architecture", "god nodes", "god node", "entry points", "primary data flow", "how do they interact",
+    "how do these interact", "overall structure", "overall organization", "project structure", "code organization", "main subsystems",
+)
 STRUCTURAL = ("callers", "callees", "who calls", "what calls", "called by", "used by", "uses", "depends on", "references", "call graph", "type hierarchy", "imports", "imported by")
-DEEP = ("how", "why", "explain", "describe", "walk me through", "what is the flow", "trace the")
-ANALYTICAL = "most least biggest smallest longest shortest complex complicated important critical dangerous risky review assess evaluate analyze compare difference versus".split()
-REGEX_INTENT = ("lines containing", "lines with", "lines that match", "lines matching", "grep for", "search for the string", "occurrences of")
+ANALYTICAL = (
+    "most ", "least ", "biggest", "smallest", "longest", "shortest", "complex", "complicated", "important", "critical", "dangerous", "risky", "review", "assess", "evaluate", "analyze", "compare",
+    "difference", "versus", " vs ",
+)
+LISTING = ("list all", "list every", "find all", "find every", "show all", "show every", "what are all", "where are all", "enumerate ")
+REGEX_INTENT = ("lines containing", "lines with ", "lines that match", "lines matching", "grep for ", "search for the string ", "occurrences of ")
+USAGE = ("where is", "where are", "call ", "calls ", "called", "invoke", "usage of")
+#: How a query begins for these rules.
+DEEP = ("how ", "why ", "explain ", "describe ", "walk me through ", "what is the flow ", "trace the ")
+UNDERSTANDING = ("what does ", "what do ", "what is ", "what are ")
+
+
+def wrapped(text) -> Column:
+    """Whether a text stands in quotes of one kind."""
+    return F.trim(_c(text)).rlike(r"^(`[\s\S]*`|\"[\s\S]*\"|'[\s\S]*')$")
 
 
 def is_regex(text) -> Column:
+    """A character class or word boundary by backslash, an alternative outside quotes, brackets, a group with an operator, or an anchor."""
     t = _c(text)
-    return t.rlike(r"\\[bBdDsSwW]") | (F.contains(t, F.lit("|")) & ~t.rlike("\"[^\"]*\\|[^\"]*\"")) | t.rlike(r"\[[^\]]*\]") | t.rlike(r"\([^)]*[|?*+][^)]*\)") | t.rlike(r"^\^|\$$")
+    group = F.regexp_extract(t, r"^[^(]*\(([^)]*)\)", 1)
+    return t.rlike(r"\\[bBdDsSwW]") | (~wrapped(t) & F.contains(t, F.lit("|"))) | t.rlike(r"^[^\[]*\[[\s\S]*\]") | group.rlike(r"[|?*+]") | t.rlike(r"^\^|\$\z")
+
+
+def symbol_shaped(word) -> Column:
+    """camelCase, capitals before a lower-case letter (XMLParser), or three characters and more with an underscore or a dot."""
+    w = _c(word)
+    return w.rlike(r"\p{Ll}\p{Lu}") | (w.rlike(r"^[A-Z]{2,}[^A-Z].*\p{Ll}|^[A-Z]{2,}\p{Ll}") & (F.length(w) >= 3)) | (w.rlike(r"[_.]") & (F.length(w) > 2))
+
+
+def distinctive(word) -> Column:
+    """A word of a question that names code: it is shaped like a symbol, or is written as a call."""
+    bare = F.regexp_replace(_c(word), r"^[^\p{L}\p{N}_.]+|[^\p{L}\p{N}_.]+$", "")
+    return _c(word).rlike(r"^[\p{L}_.][\p{L}\p{N}_.]+\($") | ((F.length(bare) >= 3) & symbol_shaped(bare))
+
+
+def _begins(t: Column, phrases) -> Column:
+    return reduce(lambda a, b: a | b, (F.startswith(t, F.lit(p)) for p in phrases))
 
 
 def route(text) -> Column:
-    """The route of an agent's query, by ordered rules."""
-    t, n = F.lower(_c(text)), F.size(words(text))
-    single = F.trim(_c(text))
-    symbol = single.rlike("^[\"'`].+[\"'`]$") | single.rlike(r"[a-z][A-Z]") | single.rlike(r"^[A-Z]{2,}[a-z]") | (single.rlike(r"[_.]") & (F.length(single) > 2))
-    word = lambda ws: t.rlike(r"(^|[^a-z0-9])(" + "|".join(ws) + r")([^a-z0-9]|$)")
+    """The route of an agent's query, by ordered rules: file_pattern, regex, exact_symbol, architecture, feature_planning, structural, deep,
+    analytical, exhaustive, and for what is left regex or a lookup of a symbol that it names, else semantic."""
+    q = F.coalesce(_c(text), F.lit(""))
+    t, w = F.lower(q), words(q)
+    n, single = F.size(w), F.trim(q)
+    inner = F.when(wrapped(single) & (F.length(single) > 1), F.substr(single, F.lit(2), F.length(single) - 2)).otherwise(single)
+    symbol = (inner != "") & ~inner.rlike(r"\s") & ((wrapped(single) & (F.length(single) > 1)) | symbol_shaped(inner))
+    named = (n >= 2) & F.exists(w, distinctive) & ~_begins(t, UNDERSTANDING)
     return (
-        F.when((n <= 2) & (F.contains(t, F.lit("*")) | t.rlike(r"\S\?\S")), "file_pattern").when(is_regex(text), "regex").when((n == 1) & symbol, "exact_symbol")
-        .when(any_of(t, ("architecture", "overview of the", "high level", "high-level", "system design", "module structure")), "architecture").when(feature_planning(text), "feature_planning")
-        .when(word(STRUCTURAL), "structural").when(t.rlike("^(" + "|".join(DEEP) + r")(\s|$)"), "deep").when(word(ANALYTICAL), "analytical")
-        .when(t.rlike(r"(list|find|show) (all|every)|(what|where) are all|enumerate"), "exhaustive").when(any_of(t, REGEX_INTENT), "regex").otherwise("semantic")
+        F.when((n <= 2) & (F.contains(q, F.lit("*")) | q.rlike(r"\S\?\S")), "file_pattern").when(is_regex(q), "regex").when(symbol, "exact_symbol")
+        .when(any_of(t, ARCHITECTURE), "architecture").when(feature_planning(q), "feature_planning").when(any_of(t, STRUCTURAL), "structural").when(_begins(t, DEEP), "deep")
+        .when(any_of(t, ANALYTICAL), "analytical").when(any_of(t, LISTING), "exhaustive").when(any_of(t, REGEX_INTENT), "regex")
+        .when(named, F.when(any_of(t, USAGE), "structural").otherwise("exact_symbol")).otherwise("semantic")
     )
 
 
@@ -297,3 +335,63 @@ def files_in(formatted) -> Column:
 def truncated(text, most: int) -> Column:
     """struct(text, cut): at most ``most`` characters, and whether any were left out."""
     return F.struct(F.left(_c(text), F.lit(most)).alias("text"), (F.length(_c(text)) > most).alias("cut"))
+
+
+#: Kinds of definitions that are types; type names that are built in, and those of containers.
+TYPE_KINDS = ("class", "struct", "enum", "trait", "interface", "type_alias")
+PRIMITIVES = (
+    "str", "string", "String", "int", "i8", "i16", "i32", "i64", "i128", "u8", "u16", "u32", "u64", "u128", "f32", "f64", "float", "double", "bool", "boolean", "void", "None", "null", "undefined",
+    "number", "usize", "isize", "char", "byte", "self", "Self",
+)
+CONTAINERS = ("List", "Map", "Vec", "Array", "Set", "Option", "Result", "Optional", "Promise", "Future", "Stream", "Observable", "HashMap", "HashSet", "BTreeMap", "BTreeSet", "Dictionary")
+#: Calls that say nothing about a program.
+TRIVIAL_CALLS = (
+    "push", "pop", "insert", "remove", "get", "set", "len", "is_empty", "contains", "iter", "into_iter", "collect", "extend", "clear", "first", "last", "next", "to_string", "as_str", "to_owned",
+    "trim", "split", "join", "starts_with", "ends_with", "replace", "chars", "lines", "format", "write", "writeln", "println", "eprintln", "print", "display", "unwrap", "unwrap_or",
+    "unwrap_or_default", "unwrap_or_else", "expect", "ok", "err", "map", "and_then", "or_else", "map_or", "map_or_else", "map_err", "is_some", "is_none", "is_ok", "is_err", "as_ref", "as_deref",
+    "into", "from", "try_into", "try_from", "as_mut", "clone", "to_vec", "eq", "ne", "cmp", "partial_cmp", "min", "max", "drop", "take", "swap", "typeof", "instanceof", "log", "debug", "info",
+    "warn", "error", "trace",
+)
+
+
+def type_kind(kind) -> Column:
+    return _c(kind).isin(*TYPE_KINDS)
+
+
+def primitive_type(name) -> Column:
+    return _c(name).isin(*PRIMITIVES)
+
+
+def user_type(name) -> Column:
+    """A name that isn't built in or a container's, and begins with a capital or has a path before it."""
+    n = _c(name)
+    return ~n.isin(*PRIMITIVES, *CONTAINERS) & (n.rlike(r"^\p{Lu}") | F.contains(n, F.lit("::")) | F.contains(n, F.lit(".")))
+
+
+def trivial_call(call) -> Column:
+    return F.element_at(F.split(_c(call), "[.:]"), -1).isin(*TRIVIAL_CALLS)
+
+
+def words_of(identifier) -> Column:
+    """An identifier's words, in lower case, with blanks between them."""
+    return F.array_join(F.filter(F.split(F.lower(split_camel(F.regexp_replace(_c(identifier), r"[^\p{L}\p{N}]+", "_"))), "_"), lambda w: w != ""), " ")
+
+
+#: Characters that a query grammar gives a meaning.
+GRAMMAR = r"([+\-&|!(){}\[\]^\"~*?:\\/])"
+
+
+def grammar_escaped(query) -> Column:
+    """A backslash before each character of a query grammar, for indexes beyond this engine."""
+    return F.regexp_replace(_c(query), GRAMMAR, r"\\$1")
+
+
+def like_escaped(text) -> Column:
+    """For LIKE with a backslash as escape."""
+    return F.regexp_replace(_c(text), r"([%_])", r"\\$1")
+
+
+def match_any(query) -> Column:
+    """The query's words in double quotes, joined by OR, for full-text tables; null where it has none."""
+    quoted = F.transform(words(query), lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.nullif(F.array_join(quoted, " OR "), F.lit(""))

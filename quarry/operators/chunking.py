@@ -14,7 +14,10 @@ from quarry.functions import text as T
 
 WINDOW, OVERLAP = 2048, 512
 CHUNK = "file_path string, start_line int, end_line int, content string, chunk_kind string, name string, ast_kind string, language string, window_index int"
-META = "params array<string>, calls array<string>, docstring string, complexity int, bases array<string>, imports array<string>"
+META = (
+    "params array<string>, calls array<string>, docstring string, complexity int, bases array<string>, imports array<string>, returns string, locals array<string>, mutations array<string>, "
+    "type_refs array<struct<context:string,name:string>>"
+)
 
 
 def windows(content: str, size: int = WINDOW, overlap: int = OVERLAP, drop_contained: bool = False) -> list[tuple[int, int, str]]:
@@ -54,6 +57,37 @@ def _calls(node: ast.AST) -> list[str]:
     return list(dict.fromkeys(ast.unparse(n.func) for n in ast.walk(node) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name | ast.Attribute)))
 
 
+def _named_types(node: ast.AST | None, context: str) -> list[dict]:
+    """Type names of an annotation, in quotes or not, that aren't built in or a container's."""
+    if node is None:
+        return []
+    found = []
+    for n in ast.walk(node):
+        name = ast.unparse(n) if isinstance(n, ast.Name | ast.Attribute) else n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else ""
+        if is_user_type(name):
+            found.append({"context": context, "name": name})
+    return found
+
+
+def is_user_type(name: str) -> bool:
+    return name not in T.PRIMITIVES and name not in T.CONTAINERS and (name[:1].isupper() or "::" in name or "." in name)
+
+
+def _once(rows: list) -> list:
+    return [dict(x) for x in dict.fromkeys(tuple(r.items()) for r in rows)]
+
+
+def _flow(node: ast.AST) -> tuple[list[str], list[str]]:
+    """Local names in order of their first assignment, and attributes of an object that are assigned to."""
+    names, changed = [], []
+    for n in ast.walk(node):
+        if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
+            names.append((n.lineno, n.col_offset, n.id))
+        if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Store):
+            changed.append((n.lineno, n.col_offset, ast.unparse(n)))
+    return ([x for _, _, x in sorted(names)], [x for _, _, x in sorted(changed)])
+
+
 def python_definitions(source: str) -> list[dict]:
     """Outermost functions and classes of Python source, and the methods of classes, with what is known of each."""
     tree, lines, out = ast.parse(source), source.split("\n"), []
@@ -63,10 +97,18 @@ def python_definitions(source: str) -> list[dict]:
         kind = "class" if isinstance(node, ast.ClassDef) else "method" if prefix else "function"
         branches = sum(isinstance(n, ast.If | ast.For | ast.While | ast.AsyncFor | ast.ExceptHandler | ast.IfExp | ast.BoolOp | ast.comprehension) for n in ast.walk(node))
         first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+        names, changed = _flow(node)
+        if kind == "class":
+            types, returns, params = [t for n in node.body if isinstance(n, ast.AnnAssign) for t in _named_types(n.annotation, "field")], None, []
+        else:
+            args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
+            types = [t for a in args for t in _named_types(a.annotation, "param")] + _named_types(node.returns, "return")
+            returns, params = ast.unparse(node.returns) if node.returns else None, [a.arg for a in node.args.args]
         out.append({
             "start_line": first, "end_line": node.end_lineno, "content": "\n".join(lines[first - 1 : node.end_lineno]), "name": node.name, "ast_kind": kind,
-            "params": [a.arg for a in node.args.args] if kind != "class" else [], "calls": _calls(node), "docstring": ast.get_docstring(node), "complexity": branches + 1,
+            "params": params, "calls": _calls(node), "docstring": ast.get_docstring(node), "complexity": branches + 1,
             "bases": [ast.unparse(b) for b in node.bases] if kind == "class" else [], "imports": imports,
+            "returns": returns, "locals": list(dict.fromkeys(names)), "mutations": list(dict.fromkeys(changed)), "type_refs": _once(types),
         })
         if kind == "class":
             for n in node.body:
@@ -87,8 +129,96 @@ DEFINITION = {
 }
 
 
+NOT_CALLS = frozenset("if for while switch catch return match loop sizeof new else do try fn func function def class struct enum impl where and or not in assert throw await async super".split())
+CALL = re.compile(r"\b([A-Za-z_][\w]*(?:(?:::|\.|->)[A-Za-z_]\w*)*)!?\s*\(")
+BRANCH = re.compile(r"\b(?:if|for|while|loop|case|catch|match|elsif|rescue|when)\b|&&|\|\|")
+TYPE_NAME = re.compile(r"\b[A-Z]\w*(?:(?:::|\.)[A-Z]\w*)*")
+#: What a type is said to extend or implement, by language.
+PARENTS = {
+    "java": r"\b(?:extends|implements)\s+([\w.<>, ]+?)(?=\b(?:implements|extends)\b|\{)", "typescript": r"\b(?:extends|implements)\s+([\w.<>, ]+?)(?=\b(?:implements|extends)\b|\{)",
+    "javascript": r"\bextends\s+([\w.]+)", "cpp": r"^\s*(?:class|struct)\s+\w+\s*(?:final\s*)?:\s*([^{]+)", "ruby": r"^\s*class\s+\w+\s*<\s*([\w:]+)",
+}
+
+
+def block_end(lines: list[str], start: int) -> int:
+    """The line that closes the braces which a definition opens, or, if a semicolon comes first, that line. Braces in strings and
+    comments don't count."""
+    depth, seen, quote, comment = 0, False, "", False
+    for k in range(start, len(lines)):
+        line, i = lines[k], 0
+        while i < len(line):
+            two, c = line[i : i + 2], line[i]
+            if comment:
+                comment = two != "*/"
+                i += 1 if comment else 2
+                continue
+            if quote:
+                i += 2 if c == "\\" else 1
+                quote = "" if c == quote else quote
+                continue
+            if two == "//":
+                break
+            if two == "/*":
+                comment = True
+            elif c in "\"`" or c == "'" and re.match(r"'(\\.|[^\\'])'", line[i:]):
+                quote = c
+            elif c == "{":
+                depth, seen = depth + 1, True
+            elif c == "}":
+                depth -= 1
+                if seen and depth <= 0:
+                    return k
+            elif c == ";" and not seen:
+                return k
+            i += 1
+        if quote != "`":
+            quote = ""
+    return len(lines) - 1
+
+
+def indented_end(lines: list[str], start: int) -> int:
+    """For languages whose definitions are closed by "end" at the same depth."""
+    depth = re.match(r"\s*", lines[start])[0]
+    return next((k for k in range(start + 1, len(lines)) if re.match(re.escape(depth) + r"end\b", lines[k])), len(lines) - 1)
+
+
+def other_definitions(source: str, language: str) -> list[dict]:
+    """Definitions of other languages: found by their first line, as long as their braces, with what patterns tell of them."""
+    lines, out = source.split("\n"), []
+    for i, line in enumerate(lines):
+        if not (m := re.match(DEFINITION[language], line)):
+            continue
+        end = indented_end(lines, i) if language == "ruby" else block_end(lines, i)
+        text = "\n".join(lines[i : end + 1])
+        head, _, body = text.partition("{") if language != "ruby" else text.partition("\n")
+        doc = []
+        for above in reversed(lines[:i]):
+            t = above.strip()
+            if not t.startswith(("///", "//", "*", "/*", "#", "@")) or t.startswith("#["):
+                break
+            doc.insert(0, re.sub(r"^(///?!?|/\*\*?|\*/?|#)\s?", "", t))
+        parents = [re.sub(r"^(public|private|protected|virtual)\s+", "", p.strip()).split("<")[0] for g in re.findall(PARENTS.get(language, r"(?!)"), head + "{") for p in g.split(",")]
+        params, _, after = head.partition("(")[2].partition(")")
+        returns = re.search(r"->\s*([^{;]+)" if language == "rust" else r":\s*([^{;=]+)" if language == "typescript" else r"^\s*([^{;]+)" if language == "go" else r"(?!)", after)
+        types = [{"context": c, "name": n} for c, part in (("param", params), ("return", returns[1] if returns else ""), ("field", body if m[1] in ("struct", "class", "interface") else "")) for n in TYPE_NAME.findall(part) if is_user_type(n)]
+        out.append({
+            "start_line": i + 1, "end_line": end + 1, "content": text, "name": m[2], "ast_kind": m[1], "calls": list(dict.fromkeys(c for c in CALL.findall(body) if c not in NOT_CALLS)),
+            "complexity": len(BRANCH.findall(body)) + 1, "bases": [p for p in parents if p], "docstring": "\n".join(doc).strip() or None, "returns": returns[1].strip() if returns else None,
+            "params": [p for x in params.split(",") if (p := re.sub(r"[:=].*$", "", x.strip()).split(" ")[0 if language in ("rust", "go", "typescript", "javascript", "ruby") else -1])],
+            "locals": list(dict.fromkeys(re.findall(r"\b(?:let|var|const|val)\s+(?:mut\s+)?(\w+)|\b(\w+)\s*:=", body) and [a or b for a, b in re.findall(r"\b(?:let|var|const|val)\s+(?:mut\s+)?(\w+)|\b(\w+)\s*:=", body)])),
+            "mutations": list(dict.fromkeys(re.findall(r"((?:self|this)\.\w+|\w+->\w+)\s*[+\-*/|&]?=(?!=)", body))), "type_refs": _once(types),
+        })
+    return out
+
+
+def implementations(source: str) -> list[tuple[str, str]]:
+    """(type, trait) of Rust's impl ... for ... blocks."""
+    return [(t.split("<")[0], tr.split("<")[0]) for tr, t in re.findall(r"(?m)^\s*(?:unsafe\s+)?impl(?:<[^{]*?>)?\s+([\w:<>, ]+?)\s+for\s+([\w:]+(?:<[^{]*?>)?)", source)]
+
+
 def chunk_file(path: str, source: str, language: str) -> list[dict]:
-    blank = dict.fromkeys(("name", "ast_kind", "docstring", "window_index")) | {"params": [], "calls": [], "complexity": 1, "bases": [], "imports": []}
+    empty = ("params", "calls", "bases", "imports", "locals", "mutations", "type_refs")
+    blank = dict.fromkeys(("name", "ast_kind", "docstring", "window_index", "returns")) | {k: [] for k in empty} | {"complexity": 1}
     base, found = {"file_path": path, "language": language}, []
     if language == "python":
         try:
@@ -96,11 +226,7 @@ def chunk_file(path: str, source: str, language: str) -> list[dict]:
         except (SyntaxError, ValueError, RecursionError):
             found = []
     elif language in DEFINITION:
-        lines = source.split("\n")
-        heads = [(i, m) for i, x in enumerate(lines) if (m := re.match(DEFINITION[language], x))]
-        for k, (i, m) in enumerate(heads):
-            end = heads[k + 1][0] if k + 1 < len(heads) else len(lines)
-            found.append(blank | {"start_line": i + 1, "end_line": end, "content": "\n".join(lines[i:end]), "name": m[2], "ast_kind": m[1]})
+        found = other_definitions(source, language)
     out = []
     for d in found:
         parts = windows(d["content"]) if len(d["content"].encode()) > 4 * WINDOW else [(1, d["end_line"] - d["start_line"] + 1, d["content"])]
@@ -156,31 +282,56 @@ def called_by(chunks: DataFrame) -> DataFrame:
     return e.join(names, "src").groupBy(F.col("dst").alias("chunk_id")).agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
 
 
-#: Semantic roles in order, by parts of the expanded name (e) and of the name itself (n).
+#: Semantic roles in order, each with what the name's words have somewhere in them, what the name itself has, and how the
+#: name begins.
 ROLES = (
-    ("sanitizer", "sanitiz redact mask+pii strip+pii clean+pii scrub", ""), ("error_handler", "error+handler catch+error recover fallback retry", "^on_error ^handle_error"),
-    ("middleware", "intercept middlewar guard+request before+request after+request", ""), ("constructor", "", "new create init build make setup ^from_"),
-    ("destructor", "close dispos shutdown destroy cleanup teardown", "drop"), ("validator", "validat verif is+valid", "check_ ensure_ assert_"),
-    ("transformer", "convert transform serializ encod decod", "to_ into_ parse_ format_"), ("fetcher", "fetch retriev lookup", "get_ load_ read_ find_"),
-    ("persister", "persist upsert", "save store write insert delete put_"), ("handler", "handl dispatch", "process_ on_"), ("orchestrator", "orchestrat coordinat pipeline workflow", ""),
+    ("sanitizer", ("sanitiz", "redact", "mask pii", "strip pii", "clean pii", "scrub"), ("sanitize", "redact", "scrub"), ()),
+    ("error_handler", ("error handler", "catch error", "recover", "fallback", "retry"), (), ("on_error", "handle_error")),
+    ("middleware", ("intercept", "middlewar", "guard request", "before request", "after request"), ("interceptor", "middleware"), ()),
+    ("constructor", (), ("new", "create", "init", "build", "make", "setup"), ("create_", "build_", "new_", "from_")),
+    ("destructor", ("close", "dispos", "shutdown", "shut down", "destroy", "cleanup", "clean up", "teardown", "tear down"), (), ("drop_",)),
+    ("validator", ("validat", "verif", "is valid"), (), ("check_", "ensure_", "assert_")),
+    ("transformer", ("convert", "transform", "serializ", "deserializ", "encod", "decod"), (), ("to_", "into_", "parse_", "format_")),
+    ("fetcher", ("fetch", "retriev", "lookup", "look up"), (), ("get_", "load_", "read_", "find_")),
+    ("persister", ("persist", "upsert"), ("save", "store", "write", "insert", "delete", "persist", "upsert"), ("save_", "store_", "write_", "insert_", "delete_", "put_")),
+    ("handler", ("handl", "dispatch"), (), ("process_", "on_")),
+    ("orchestrator", ("orchestrat", "coordinat", "pipeline", "workflow"), (), ()),
 )
 
 
 def semantic_role(name, calls) -> Column:
-    e, n = F.array_join(T.parts(T.split_camel(name)), " "), F.lower(T._c(name))
+    e, n = T.words_of(name), F.lower(T._c(name))
     out = F
-    for role, expanded, plain in ROLES:
+    for role, words, parts, starts in ROLES:
         hit = F.lit(False)
-        for w in expanded.split():
-            hit = hit | F.contains(e, F.lit(w.replace("+", " ")))
-        for w in plain.split():
-            hit = hit | (F.startswith(n, F.lit(w[1:])) if w[0] == "^" else F.contains(n, F.lit(w)))
+        for w in words:
+            hit = hit | F.contains(e, F.lit(w))
+        for p in parts:
+            hit = hit | F.contains(n, F.lit(p))
+        for p in starts:
+            hit = hit | F.startswith(n, F.lit(p))
+        if role == "destructor":
+            hit = hit | (n == "drop")
         if role == "orchestrator":
-            hit = hit | (n.rlike("run|execute") & (F.size(T._c(calls)) >= 3))
+            hit = hit | (n.rlike("^(run|execute)(_|$)") & (F.size(T._c(calls)) >= 3))
         out = out.when(hit, role)
     return out
 
 
+def annotation(docstring, kind, name, returns, role, calls, called_by, most: int = 8) -> Column:
+    """What a definition is for, in words, a line each: its first sentence, purpose, role, calls that say something, callers."""
+    first = T.first_sentences(docstring, 1)
+    first = F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.trim(T._c(docstring)), F.lit("")))
+    told = F.when(F.length(F.trim(T._c(returns))).between(1, 80), F.concat(F.lit(" \u2014 returns "), F.trim(T._c(returns)))).otherwise("")
+    some = F.transform(F.slice(F.filter(T._c(calls), lambda c: ~T.trivial_call(c)), 1, most), T.words_of)
+    by = F.transform(F.slice(T._c(called_by), 1, most), T.words_of)
+    return F.concat_ws(
+        "\n", F.when(F.length(first) <= 200, first), F.when(T._c(name).isNotNull(), F.concat(F.lit("purpose: "), T._c(kind), F.lit(" "), T.words_of(name), told)),
+        F.when(T._c(role).isNotNull(), F.concat(F.lit("role: "), T._c(role))), F.when(F.size(some) > 0, F.concat(F.lit("calls: "), F.array_join(some, ", "))),
+        F.when(F.size(by) > 0, F.concat(F.lit("called by: "), F.array_join(by, ", "))),
+    )
+
+
 def summary(chunks: DataFrame) -> Column:
     """What is known of a chunk, as parts joined by "; "."""
     part = lambda label, column: F.when(F.size(column) > 0, F.concat(F.lit(label), F.array_join(column, ", ")))
@@ -206,9 +357,60 @@ def mine_patterns(chunks: DataFrame, catalog: list[tuple[str, str, list[str], li
     return chunks.select("chunk_id", F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
 
 
-def doc_tags(docstring) -> Column:
-    """@tags of a docstring, with what follows on their line."""
-    return F.transform(F.regexp_extract_all(docstring, F.lit(r"(@\w+[^\n]*)"), 1), lambda t: F.struct(F.regexp_extract(t, r"^@(\w+)", 1).alias("tag"), F.trim(F.regexp_replace(t, r"^@\w+", "")).alias("text")))
+#: Headings of sections in docstrings and their tags, for Python and Rust.
+SECTIONS = {
+    "Args:": "param", "Arguments:": "param", "Parameters:": "param", "Returns:": "returns", "Return:": "returns", "Raises:": "throws", "Except:": "throws", "Exceptions:": "throws", "Yields:": "yields",
+    "Yield:": "yields", "Note:": "note", "Notes:": "note", "Example:": "example", "Examples:": "example", "# Arguments": "param", "# Params": "param", "# Parameters": "param", "# Returns": "returns",
+    "# Return": "returns", "# Errors": "errors", "# Panics": "panics", "# Safety": "safety", "# Examples": "example", "# Example": "example",
+}
+
+
+def tags_of(docstring: str, language: str = "") -> list[dict]:
+    """Tags (tag, name, text) of a docstring: lines with @tag, and sections under headings, whose entries are parameters with a name or else
+    one text."""
+    out, section, depth = [], None, 0
+    for line in docstring.split("\n"):
+        plain = re.sub(r"^\s*(\*/?|///?!?|# (?=@))?\s?", "", line)
+        if m := re.match(r"@(\w+)\s*(.*)", plain):
+            tag, rest, name = m[1].lower(), m[2].strip(), None
+            if tag in ("param", "arg", "argument"):
+                tag, (name, rest) = "param", re.match(r"(?:\{[^}]*\}\s*)?(\S*)\s*(?:- )?(.*)", rest).groups()
+            out.append({"tag": tag, "name": name, "text": rest})
+            section = None
+            continue
+        heading = SECTIONS.get(line.strip())
+        if heading and (line.strip()[0] == "#") == (language == "rust") and language in ("python", "rust"):
+            section, depth, first = heading, None, True
+            continue
+        if section is None or not line.strip():
+            continue
+        inside = line[:1] in " \t" if language == "python" else not line.startswith("#")
+        if not inside:
+            section = None
+            continue
+        own = len(line) - len(line.lstrip())
+        depth = own if depth is None else depth
+        text = line.strip()
+        if section == "param" and own <= depth:
+            name, _, rest = re.sub(r"^[*-]\s+", "", text).partition(":") if language == "python" else re.sub(r"^[*-]\s+", "", text).partition(" - ")
+            out.append({"tag": "param", "name": name.split("(")[0].strip().strip("`"), "text": rest.strip()})
+        elif first and section != "param":
+            out.append({"tag": section, "name": None, "text": text})
+        elif out:
+            out[-1]["text"] = f"{out[-1]['text']} {text}".strip()
+        first = False
+    return out
+
+
+def doc_tags(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, tag, name, text) of chunks (chunk_id, docstring, language)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, t["tag"], t["name"], t["text"]) for i, d, g in f.itertuples(index=False) for t in tags_of(d, g or "")]
+            yield pd.DataFrame(rows, columns=["chunk_id", "tag", "name", "text"])
+
+    return chunks.where("docstring is not null").select("chunk_id", "docstring", "language").mapInPandas(run, "chunk_id long, tag string, name string, text string")
 
 
 def python_import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -140,9 +140,14 @@ def mmr(ranked: DataFrame, vectors: DataFrame, weight: float = 0.7, k: int = 50)
     return head.select("query_id", "chunk_id", "score", "rank", "vector").groupBy("query_id").applyInPandas(pick, schema)
 
 
-def triage(ranked: DataFrame, floor: float = 0.08, each: int = 3, most: int = 14) -> DataFrame:
-    """Results over the floor, at most ``each`` of a file, none whose lines overlap by more than half with one taken before. Greedy
-    over each query's ranking of at most a few hundred rows."""
+def triage_cap(score: float) -> int:
+    """How many results a deep search reads, by its confidence."""
+    return 5 if score > 0.7 else 8 if score > 0.3 else 14
+
+
+def triage(ranked: DataFrame, floor: float = 0.08, each: int = 3, most: int = 14, rescued: int = 1) -> DataFrame:
+    """Results over the floor, at most ``each`` of a file, none whose lines overlap by more than half with one taken before. Where no
+    result passes, the first ``rescued`` are taken all the same. Greedy over each query's ranking of at most a few hundred rows."""
     schema = "query_id long, chunk_id long, rank int"
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
@@ -154,6 +159,8 @@ def triage(ranked: DataFrame, floor: float = 0.08, each: int = 3, most: int = 14
             if r.score >= floor and len(own) < each and not over and len(taken) < most:
                 own.append((r.start_line, r.end_line))
                 taken.append((r.query_id, r.chunk_id))
+        if not taken:
+            taken = [(r.query_id, r.chunk_id) for r in g.sort_values("rank").head(rescued).itertuples()]
         return pd.DataFrame([(q, c, i + 1) for i, (q, c) in enumerate(taken)], columns=["query_id", "chunk_id", "rank"])
 
     head = ranked.where(F.col("rank") <= 500)

@@ -10,7 +10,7 @@ from quarry.functions import text as T
 
 def corpus_from_rows(rows: DataFrame, text: str, query: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, queries, gold) of a table that has both a text and its description: each row's description is a query whose one
-    relevant document is the row's text. Ids are dense, in order of key."""
+    relevant document is the row's text. Ids are the key after d or q."""
     x = rows.where(F.col(text).isNotNull() & (F.length(F.trim(query)) > 0))
     x = x.withColumn("__id", F.concat(F.lit("d"), F.col(key).cast("string")))
     docs = x.select(F.col("__id").alias("item"), F.col(text).alias("text"))

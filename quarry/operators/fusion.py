@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import numbers as N
+
 #: Channel weights by query type.
 CONVEX = {"identifier": (0.2, 0.6, 5.0), "keyword": (0.3, 0.6, 2.0), "semantic": (0.4, 0.5, 0.8), "mixed": (0.5, 0.4, 0.8)}
 RRF_WEIGHTS = {"identifier": (0.2, 1.0), "keyword": (0.4, 0.8), "semantic": (0.1, 0.9), "mixed": (0.6, 0.6)}
@@ -58,6 +60,23 @@ def convex(all_: DataFrame, types: DataFrame) -> DataFrame:
     return n.join(types, "query_id").groupBy("query_id", "chunk_id").agg(F.sum(w * F.col("score")).alias("score"))
 
 
+def adapted_weights(tops: DataFrame) -> DataFrame:
+    """tops (query_id, query_type, dense, sparse, exact): the best score of each channel, null where it found nothing. Returns (query_id,
+    w_dense, w_sparse, w_exact): the type's weights, drawn towards a channel that is much surer than the other."""
+    pick = lambda i: reduce(lambda w, t: w.when(F.col("query_type") == t, CONVEX[t][i]), CONVEX, F)
+    ratio = F.when((F.col("sparse") > 0) & (F.col("dense") > 0), F.col("sparse") / F.col("dense"))
+    return tops.select(
+        "query_id", (pick(0) * F.when(ratio > 2.5, 0.8).when(ratio < 0.4, 1.3).otherwise(1.0)).alias("w_dense"), (pick(1) * F.when(ratio > 2.5, 1.3).when(ratio < 0.4, 0.8).otherwise(1.0)).alias("w_sparse"),
+        (pick(2) * F.when(F.col("exact") > 0.8, 1.5).otherwise(1.0)).alias("w_exact"),
+    )
+
+
+def response_confidence(ranked_: DataFrame) -> DataFrame:
+    """(query_id, confidence) of rankings with rank."""
+    best = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
+    return ranked_.groupBy("query_id").agg(best(1).alias("top"), best(2).alias("second")).select("query_id", N.response_confidence("top", "second").alias("confidence"))
+
+
 def dual_route(original: DataFrame, expanded: DataFrame, w_original: float = 1.0, w_expanded: float = 0.5) -> DataFrame:
     both = original.withColumn("score", F.col("score") * w_original).unionByName(expanded.withColumn("score", F.col("score") * w_expanded))
     return both.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))

@@ -142,6 +142,26 @@ def import_neighbours(files: DataFrame, imports: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct().join(files, ["query_id", "file_path"], "left_anti")
 
 
+def module_cohesion(scored: DataFrame, chunks: DataFrame, imports: DataFrame, decay: float, most: int) -> DataFrame:
+    """(query_id, chunk_id, score): chunks of the files next to a ranking's files (query_id, chunk_id, score, file_path) in the import
+    graph, at decay x the ranking's best score; the first ``most`` of each query that it doesn't have. None where decay or the best
+    score is nought or less."""
+    top = scored.groupBy("query_id").agg(F.max("score").alias("top")).where((F.col("top") > 0) & F.lit(decay > 0))
+    files = scored.join(top, "query_id", "left_semi").select("query_id", "file_path").distinct()
+    new = import_neighbours(files, imports).join(chunks.select("chunk_id", "file_path"), "file_path").select("query_id", "chunk_id").distinct()
+    w = Window.partitionBy("query_id").orderBy("chunk_id")
+    new = new.join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return new.join(top, "query_id").select("query_id", "chunk_id", (decay * F.col("top")).alias("score"))
+
+
+def symbol_card(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """(symbol, chunk_id, callers, callees): each definition (symbol, chunk_id) with how many different chunks call it and it calls."""
+    into = calls.where("src <> dst").groupBy(F.col("dst").alias("chunk_id")).agg(F.count_distinct("src").alias("callers"))
+    out = calls.groupBy(F.col("src").alias("chunk_id")).agg(F.count_distinct("dst").alias("callees"))
+    zero = F.lit(0).cast("long")
+    return symbols.select("symbol", "chunk_id").join(into, "chunk_id", "left").join(out, "chunk_id", "left").select("symbol", "chunk_id", F.coalesce("callers", zero).alias("callers"), F.coalesce("callees", zero).alias("callees"))
+
+
 def boundaries(imports: DataFrame, most: int = 25) -> DataFrame:
     """(from_dir, to_dir, count): imports between different top folders."""
     x = imports.select(T.top_dir("importer").alias("from_dir"), T.top_dir("imported").alias("to_dir")).where("from_dir <> to_dir")

@@ -45,23 +45,50 @@ class VectorStore:
 
     def two_stage(self, queries: DataFrame, k: int, wide: int = 4, most_queries: int = 10_000) -> DataFrame:
         """The k best of the wide x k rows of the largest int8 product; a query is (query_id, vector). Queries go to the tasks in
-        blocks of about ``most_queries``."""
+        blocks of about ``most_queries``, and a batch of rows passes on no more than its wide x k best; vectors are fetched for these."""
         q = queries.select("query_id", N.doubles("vector").alias("qv")).withColumn("qs", N.int8_scale("qv")).withColumn("qq", N.int8("qv", "qs"))
         blocks, out = max(1, -(-queries.count() // most_queries)), None
+        rows = self.rows()
+        coarse = rows.select("chunk_id", "q", (F.col("scale") / N.norm("vector")).alias("factor"))
         for block in range(blocks):
             part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-            rough = self.rows().crossJoin(F.broadcast(part)).withColumn("score", N.dot("q", "qq") * F.col("scale") / N.norm("vector"))
-            best = top_k(rough.withColumn("score", F.round("score", 9)), wide * k)
-            one = top_k(best.select("query_id", "chunk_id", F.round(N.cosine("vector", "qv"), 9).alias("score")), k)
+            best = top_k(_coarse(coarse, part, wide * k), wide * k).select("query_id", "chunk_id")
+            one = best.join(rows.select("chunk_id", "vector"), "chunk_id").join(part.select("query_id", "qv"), "query_id")
+            one = top_k(one.select("query_id", "chunk_id", F.round(N.cosine("vector", "qv"), 9).alias("score")), k)
             out = one if out is None else out.unionByName(one)
         return out
 
 
-def semantic_cache(cache: DataFrame, queries: DataFrame, stamp: str, threshold: float = 0.85) -> DataFrame:
+def _coarse(rows: DataFrame, part: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): of each batch of int8 rows (chunk_id, q, factor) the k best for each query (query_id, qq)."""
+    import numpy as np
+    import pyarrow as pa
+
+    found = part.select("query_id", "qq").collect()
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in found], np.int64), np.array([r.qq for r in found], np.float64)))
+
+    def run(batches):
+        ids, m = sent.value
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            own, factor = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            v = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+            for at in range(0, len(ids), 1000):
+                s = np.round(v @ m[at : at + 1000].T * factor[:, None], 9)
+                best = np.lexsort((np.broadcast_to(own[:, None], s.shape).T, -s.T), axis=1)[:, :k]
+                q = np.repeat(np.arange(best.shape[0]), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1000][q]), pa.array(own[best.ravel()]), pa.array(s[best.ravel(), q])], ["query_id", "chunk_id", "score"])
+
+    return rows.select("chunk_id", "q", "factor").mapInArrow(run, "query_id long, chunk_id long, score double")
+
+
+def semantic_cache(cache: DataFrame, queries: DataFrame, stamp: str, threshold: float = 0.85, others: bool = False) -> DataFrame:
     """(query_id, cached_id, similarity): of the cached queries (cached_id, vector, stamp) of the same index stamp the nearest, if it
-    is near enough. A cache holds a thousand queries, so it goes to every task."""
+    is near enough. A cache holds a thousand queries, so it goes to every task. others: a query isn't compared with a cached one of its
+    own number."""
     c = cache.where(F.col("stamp") == stamp).orderBy(F.desc("cached_id")).limit(1000).select("cached_id", F.col("vector").alias("cv"))
-    x = queries.select("query_id", "vector").crossJoin(F.broadcast(c)).withColumn("similarity", F.round(N.cosine("vector", "cv"), 9)).where(F.col("similarity") >= threshold)
+    x = queries.select("query_id", "vector").crossJoin(F.broadcast(c)).withColumn("similarity", F.round(N.cosine("vector", "cv"), 9)).where((F.col("similarity") >= threshold) & (F.lit(not others) | (F.col("query_id") != F.col("cached_id"))))
     return x.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("cached_id")).alias("n"))).alias("m")).select("query_id", (-F.col("m.n")).alias("cached_id"), "m.similarity")
 
 
@@ -98,3 +125,35 @@ def mixer_forward(tokens: DataFrame, taps, projection) -> DataFrame:
             yield pd.DataFrame({"chunk_id": f["chunk_id"], "pos": f["pos"], "vector": y.tolist()})
 
     return tokens.select("chunk_id", "pos", "window").mapInPandas(run, "chunk_id long, pos int, vector array<double>")
+
+
+def train_mixer(windows, targets, steps: int = 300, rate: float = 0.01, seed: int = 0):
+    """(taps, projection, losses) for ``mixer_forward``: of a bounded sample of windows (n x 9 x dims) and the vectors that a text encoder
+    gives their centres (n x dims), by Adam on one less the cosine, with a rate that falls along a cosine."""
+    import numpy as np
+
+    x, t = np.asarray(windows, float), np.asarray(targets, float)
+    t = t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)
+    n, _, dims = x.shape
+    rng = np.random.default_rng(seed)
+    params = [rng.standard_normal((9, dims)) * 0.1, rng.standard_normal((dims, dims)) * 0.01]
+    first, second, losses = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], []
+    c = 0.7978845608028654
+    for k in range(1, steps + 1):
+        taps, projection = params
+        z = (x * taps).sum(axis=1)
+        th = np.tanh(c * (z + 0.044715 * z**3))
+        h = 0.5 * z * (1 + th)
+        y = x[:, 4] + h @ projection
+        size = np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        cos = (y * t).sum(axis=1, keepdims=True) / size
+        losses.append(float(1 - cos.mean()))
+        dy = -(t - cos * y / size) / size / n
+        dz = dy @ projection.T * (0.5 * (1 + th) + 0.5 * z * (1 - th**2) * c * (1 + 3 * 0.044715 * z**2))
+        grads = [(x * dz[:, None, :]).sum(axis=0), h.T @ dy]
+        step = rate * 0.5 * (1 + np.cos(np.pi * (k - 1) / steps))
+        for p, g, a, b in zip(params, grads, first, second, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            p -= step * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-8)
+    return params[0], params[1], losses

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -169,7 +169,8 @@ def deep_search(index: Index, query: str, max_results: int = 20, budget: int = 3
     best = graph.cut(C.top_k(best.join(index.chunks, "chunk_id"), 200))
     top = best.agg(F.max("score").alias("s")).first().s or 1.0
     # confidence is measured against the best there is, so the floor means the same for any fusion
-    picked = cut.triage(best.withColumn("score", F.col("score") / top)).select("query_id", "chunk_id", "rank")
+    sure = best.orderBy(F.desc("score")).limit(3).agg(F.avg(F.col("score") / top).alias("s")).first().s or 0.0
+    picked = cut.triage(best.withColumn("score", F.col("score") / top), most=cut.triage_cap(sure)).select("query_id", "chunk_id", "rank")
     x = best.drop("rank").join(picked, ["query_id", "chunk_id"])
     if index.edges is not None:
         extra = graph.expand(picked.select("query_id", "chunk_id"), index.edges).join(index.chunks, "chunk_id")
@@ -248,6 +249,41 @@ def formatted(results: DataFrame, budget: int = 12_000) -> DataFrame:
     return x.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "").alias("text"))
 
 
+def formatted_graph(walk: DataFrame, chunks: DataFrame, each: int = 20) -> DataFrame:
+    """(symbol, text): a symbol's neighbours (symbol, relation, chunk_id), a heading a relation with their number, then a line each."""
+    x = walk.join(chunks.select("chunk_id", "file_path", "start_line", "name"), "chunk_id")
+    line = F.concat(F.lit("  "), F.coalesce("name", F.lit("?")), F.lit("  "), "file_path", F.lit(":"), F.col("start_line").cast("string"))
+    g = x.groupBy("symbol", "relation").agg(F.slice(F.array_sort(F.collect_set(line)), 1, each).alias("lines"), F.count("*").alias("n"))
+    part = F.concat("relation", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), F.array_join("lines", "\n"))
+    return g.groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relation", part.alias("part")))), lambda s: s["part"]), "\n").alias("text"))
+
+
+def formatted_blocks(results: DataFrame, budget: int = 16_000, full: int = 5, most_bytes: int = 8_000) -> DataFrame:
+    """(query_id, text): blocks of code in order of rank, up to so many characters a query: the whole content of the first ``full``, cut at
+    most_bytes characters, and of the others their first line."""
+    head = F.concat(F.lit("### "), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n"))
+    body = F.when(F.col("rank") <= full, T.truncated("content", most_bytes)["text"]).otherwise(F.element_at(F.split("content", "\n"), 1))
+    x = results.withColumn("block", F.concat(head, F.coalesce(body, F.lit("")), F.lit("\n"))).withColumn("bytes", F.length("block").cast("long"))
+    x = cut.byte_budget(x, "bytes", budget)
+    return x.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda s: s["block"]), "").alias("text"))
+
+
+def cached_search(index: Index, queries: DataFrame, cache: DataFrame, stamp: str, spec: SearchSpec = SearchSpec(), threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """(results, cache): queries (query_id, query, vector) that are near one in the cache (cached_id, vector, stamp, results) of the same index
+    stamp take its results; the others are searched and join the cache, of which the latest thousand stay."""
+    from quarry.operators.store import semantic_cache
+
+    near = graph.cut(semantic_cache(cache, queries, stamp, threshold))
+    known = near.join(cache.where(F.col("stamp") == stamp), "cached_id").select("query_id", F.explode("results").alias("r")).select("query_id", "r.*")
+    fresh = queries.join(near, "query_id", "left_anti")
+    found = graph.cut(search(index, fresh, spec).select("query_id", "chunk_id", "rank", F.col("score").cast("double").alias("score")))
+    of = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("results"))
+    last = cache.agg(F.coalesce(F.max("cached_id"), F.lit(0)).alias("n")).first().n
+    new = fresh.join(of, "query_id").select((F.lit(last) + F.row_number().over(Window.orderBy("query_id"))).alias("cached_id"), "vector", F.lit(stamp).alias("stamp"), "results")
+    kept = cache.where(F.col("stamp") == stamp).unionByName(new).orderBy(F.desc("cached_id")).limit(1000)
+    return known.select("query_id", "chunk_id", "rank", "score").unionByName(found.select("query_id", "chunk_id", "rank", "score")), kept
+
+
 def search_with_draft(index: Index, query: str, write: Callable[[str], str], spec: SearchSpec = SearchSpec()) -> DataFrame:
     """What the query finds, and what a text written in answer to it finds, each chunk once. A draft that can't be written leaves the query's own."""
     base = multi_search(index, {0: query}, spec)
@@ -290,8 +326,6 @@ def suggestions(results: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, name): other names among the results of queries whose best result is ambiguous, best first."""
     unsure = results.where("rank = 1 and label = 'ambiguous'").select("query_id")
     x = results.join(unsure, "query_id", "left_semi").where("name is not null").groupBy("query_id", "name").agg(F.min("rank").alias("rank"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy("rank", "name")
     return x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("query_id", "name", "rank")
 
@@ -328,8 +362,6 @@ def module_scaffold(index: Index, folder: str, tokens: int = 2000) -> DataFrame:
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    from pyspark.sql import Window
-
     u = u.distinct().withColumns({"query_id": F.lit(0), "size": F.ceil(F.length("line") / 4)})
     u = u.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "line")))
     return cut.byte_budget(u, "size", tokens).select("rank", "section", "line")

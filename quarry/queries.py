@@ -471,11 +471,11 @@ def resolve_symbols(spark, sf):
     return graph.resolve(calls, defs, p.select(path.alias("importer"), imported.alias("imported")))
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT s_suppkey % 3 AS query_id, s_suppkey * 4 + 1 AS chunk_id FROM supplier WHERE s_suppkey < 9), u AS (SELECT query_id, dst AS chunk_id, count(*) AS n FROM s JOIN hops ON src = chunk_id GROUP BY 1, 2),
+@query(f"""WITH {EDGES}, s AS (SELECT s_suppkey // 3 AS query_id, s_suppkey * 4 + 1 AS chunk_id FROM supplier), u AS (SELECT query_id, dst AS chunk_id, count(*) AS n FROM s JOIN hops ON src = chunk_id GROUP BY 1, 2),
     h AS (SELECT query_id, count(*) AS have FROM s GROUP BY 1), r AS (SELECT query_id, chunk_id, 0.5 + 0.2 * (n - 1) AS score, have, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS r FROM u JOIN h USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = u.query_id AND s.chunk_id = u.chunk_id))
     SELECT query_id, chunk_id, round(score, 6)::DOUBLE AS score FROM r WHERE r <= least(7, greatest(0, 12 - have))""")
 def deep_expand(spark, sf):
-    s = S.read(spark, sf, "supplier").where("s_suppkey < 9").select((F.col("s_suppkey") % 3).alias("query_id"), (F.col("s_suppkey") * 4 + 1).alias("chunk_id"))
+    s = S.read(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 3).alias("query_id"), (F.col("s_suppkey") * 4 + 1).alias("chunk_id"))
     return out(graph.expand(s, S.edges(spark, sf)))
 
 
@@ -651,3 +651,6 @@ def events_sliding(spark, sf):
     SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def events_session(spark, sf):
     return S.read(spark, sf, "events").groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+from quarry import queries_more  # noqa: E402, F401  these register themselves

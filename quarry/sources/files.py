@@ -10,7 +10,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.functions import text as T
 
-#: Extension -> (type, whether definitions are looked for).
+#: The type of a file by its extension, and whether definitions are looked for; files known by their name; what isn't code;
+#: lock files.
 TYPES = {
     "py": ("python", True), "rs": ("rust", True), "js": ("javascript", True), "jsx": ("javascript", True), "mjs": ("javascript", True), "ts": ("typescript", True), "tsx": ("typescript", True),
     "go": ("go", True), "java": ("java", True), "kt": ("kotlin", True), "scala": ("scala", True), "c": ("c", True), "h": ("c", True), "cc": ("cpp", True), "cpp": ("cpp", True), "hpp": ("cpp", True),
@@ -18,7 +19,6 @@ TYPES = {
     "txt": ("text", False), "json": ("json", False), "yaml": ("yaml", False), "yml": ("yaml", False), "toml": ("toml", False), "html": ("html", False), "css": ("css", False), "pdf": ("pdf", False),
 }
 SPECIAL = {"dockerfile": "dockerfile", "makefile": "makefile", "cmakelists.txt": "cmake", "gemfile": "ruby", "rakefile": "ruby"}
-#: "code only" leaves these out.
 NOT_CODE = ("md", "txt", "json", "yaml", "yml", "toml", "html", "css", "pdf", "lock", "csv", "xml", "svg")
 LOCKS = ("cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "go.sum", "composer.lock", "gemfile.lock", "uv.lock")
 
@@ -104,6 +104,16 @@ def changed_files(patch) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(patch, F.lit(r"(?m)^\+\+\+ b/(.+)$"), 1)))
 
 
+def git(repository: str, *args: str, check: bool = True) -> str:
+    """What git says; an error with its own message, or nothing if check is off."""
+    import subprocess
+
+    done = subprocess.run(["git", "-C", repository, *args], capture_output=True, text=True)
+    if done.returncode and check:
+        raise RuntimeError(f"git {args[0]} of {repository} failed: {done.stderr.strip()}")
+    return "" if done.returncode else done.stdout
+
+
 class GitLog(DataSource):
     """Commits of a repository: spark.read.format("git_log").load(path). One partition, as git's log is one stream."""
 
@@ -126,13 +136,8 @@ class _GitReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition):
-        import subprocess
-
-        cmd = ["git", "-C", self.path, "log", "--reverse", "--name-only", "--relative", "--format=%x01%H%x00%an%x00%ct%x00%B%x02", *(["-n", self.most] if self.most else []), self.range]
-        done = subprocess.run(cmd, capture_output=True, text=True)
-        if done.returncode:
-            raise RuntimeError(f"git log of {self.path} failed: {done.stderr.strip()}")
-        for block in done.stdout.split("\x01")[1:]:
+        out = git(self.path, "log", "--reverse", "--name-only", "--relative", "--format=%x01%H%x00%an%x00%ct%x00%B%x02", *(["-n", self.most] if self.most else []), self.range)
+        for block in out.split("\x01")[1:]:
             head, _, files = block.partition("\x02")
             h, author, ts, message = head.split("\0", 3)
             yield h, author, int(ts), message.strip(), [f for f in files.split("\n") if f]
@@ -141,3 +146,98 @@ class _GitReader(DataSourceReader):
 def parse_blame(porcelain: str) -> list[tuple[int, str]]:
     """(line, commit) of git blame --porcelain."""
     return [(int(m[2]), m[1]) for m in re.finditer(r"(?m)^([0-9a-f]{40}) \d+ (\d+)(?: \d+)?$", porcelain)]
+
+
+def commit_detail(repository: str, sha: str, budget: int = 8000) -> dict:
+    """A commit's hash, author, ts, message, files with lines added and removed, and its patch up to so many characters."""
+    h, author, ts, message = git(repository, "show", "-s", "--format=%H%x00%an%x00%ct%x00%B", sha).split("\0", 3)
+    stat = [line.split("\t") for line in git(repository, "show", "--numstat", "--format=", sha).splitlines() if line]
+    patch = git(repository, "show", "--patch", "--format=", sha)
+    number = lambda x: int(x) if x.isdigit() else None  # noqa: E731  binary files have none
+    return {"hash": h, "author": author, "ts": int(ts), "message": message.strip(), "stat": [(f, number(a), number(d)) for a, d, f in stat], "patch": patch[:budget], "truncated": len(patch) > budget}
+
+
+def upstream_status(repository: str) -> tuple[str, int, int] | None:
+    """(upstream, ahead, behind) of the branch that is checked out, None if it follows none."""
+    name = git(repository, "rev-parse", "--abbrev-ref", "--symbolic-full-name", "@{u}", check=False).strip()
+    if not name:
+        return None
+    behind, ahead = git(repository, "rev-list", "--left-right", "--count", "@{u}...HEAD").split()
+    return name, int(ahead), int(behind)
+
+
+def other_branches(repository: str, most: int = 10) -> list[tuple[str, int]]:
+    """(branch, time of its last commit) of the branches that aren't checked out, newest first."""
+    here = git(repository, "branch", "--show-current").strip()
+    rows = [line.rsplit(" ", 1) for line in git(repository, "for-each-ref", "--sort=-committerdate", "--format=%(refname:short) %(committerdate:unix)", "refs/heads").splitlines()]
+    return [(name, int(ts)) for name, ts in rows if name != here][:most]
+
+
+def save_centroids(centroids: DataFrame, path: str, most: int = 65_536) -> None:
+    """(cid, vector), in order of cid, as a NumPy file; more than ``most`` are an error."""
+    import numpy as np
+    from pyarrow import fs
+
+    rows = centroids.select("cid", "vector").orderBy("cid").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centroids")
+    store, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    with store.open_output_stream(at) as f:
+        np.lib.format.write_array(f, np.array([r.vector for r in rows], np.float32).reshape(len(rows), -1))
+
+
+def load_centroids(spark: SparkSession, path: str) -> DataFrame:
+    import io
+
+    import numpy as np
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    with store.open_input_stream(at) as f:
+        m = np.load(io.BytesIO(f.read()), allow_pickle=False)
+    return spark.createDataFrame([(i, v) for i, v in enumerate(m.astype(float).tolist())], "cid int, vector array<double>")
+
+
+def pdf_text(content: bytes) -> str:
+    """The text that a PDF's content streams show, as far as its fonts use plain single-byte codes; streams that can't be read give none."""
+    import zlib
+
+    out = []
+    for m in re.finditer(rb"<<((?:(?!>>\s*stream).)*)>>\s*stream\r?\n", content, re.DOTALL):
+        end = content.find(b"endstream", m.end())
+        raw = content[m.end() : end if end >= 0 else len(content)]
+        if b"FlateDecode" in m[1]:
+            try:
+                raw = zlib.decompressobj().decompress(raw)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m[1]:
+            continue
+        for block in re.findall(rb"\bBT\b(.*?)\bET\b", raw, re.DOTALL):
+            line = []
+            for shown in re.finditer(rb"(\[(?:[^\]\\(]|\\.|\((?:[^\\()]|\\.)*\))*\]|\((?:[^\\()]|\\.)*\)|<[0-9A-Fa-f\s]*>)\s*(TJ|Tj|'|\")|(?<!\w)(T\*|Td|TD)(?!\w)", block, re.DOTALL):
+                if shown[3] or shown[2] in (b"'", b'"'):
+                    line.append("\n")
+                if shown[1]:
+                    line += [_pdf_string(x) for x in re.findall(rb"\((?:[^\\()]|\\.)*\)|<[0-9A-Fa-f\s]*>", shown[1], re.DOTALL)]
+            out.append(re.sub(r"\n+", "\n", "".join(line)).strip("\n"))
+    return "\n".join(x for x in out if x.strip())
+
+
+def _pdf_string(raw: bytes) -> str:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
+    plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1].endswith(b"\n") else plain.get(m[1], m[1]), raw[1:-1], flags=re.DOTALL).decode("latin-1")
+
+
+def pdf_texts(files: DataFrame) -> DataFrame:
+    """(path, content string) of PDF files (path, content binary); a file that has no text, or can't be read, gives no row."""
+
+    def run(frames):
+        for f in frames:
+            rows = [(p, t) for p, c in zip(f["path"], f["content"], strict=True) if c is not None and bytes(c[:5]) == b"%PDF-" and (t := pdf_text(bytes(c))).strip()]
+            yield f.iloc[:0].assign(path=[], content=[]) if not rows else f.iloc[: len(rows)].assign(path=[p for p, _ in rows], content=[t for _, t in rows])
+
+    return files.where(T.extension("path") == "pdf").select("path", "content").mapInPandas(run, "path string, content string")
