@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -238,6 +239,6 @@ def pdf_texts(files: DataFrame) -> DataFrame:
     def run(frames):
         for f in frames:
             rows = [(p, t) for p, c in zip(f["path"], f["content"], strict=True) if c is not None and bytes(c[:5]) == b"%PDF-" and (t := pdf_text(bytes(c))).strip()]
-            yield f.iloc[:0].assign(path=[], content=[]) if not rows else f.iloc[: len(rows)].assign(path=[p for p, _ in rows], content=[t for _, t in rows])
+            yield pd.DataFrame(rows, columns=["path", "content"])
 
     return files.where(T.extension("path") == "pdf").select("path", "content").mapInPandas(run, "path string, content string")
