@@ -10,9 +10,14 @@ all that came, on all 64 bits. Two links lead to the same pair (each may visit
 the other's home); a fingerprint therefore only goes to the anchors up to half
 way round the circle of anchor numbers from its home, which keeps one of them.
 
+With more fingerprints than some 64 for each of the 2**24 anchors the code takes in
+lower bits as well, each of their values a codeword of its own; a fingerprint then
+visits the anchors of values that differ in so many bits as are left of t.
+
 Distinct fingerprints are compared, not rows. An anchor with a large population
-is dealt over slices of those at home; visitors go to each slice. What leaves an
-anchor is a spanning forest of its links and not the links themselves.
+is dealt over slices of those at home; visitors go to each slice and pass by in
+batches. What leaves an anchor is a spanning forest of its links and not the links
+themselves.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ SEED = 42
 #: Generator polynomial of the cyclic Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY, BITS, RADIUS = 0b101011100011, 23, 3
 HALF, CIRCLE = 1 << 23, 1 << 24
+#: Bits below the code's; how many fingerprints an anchor is at home to before the code takes in some of them.
+SPARE, PER_ANCHOR = 18, 64
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -111,32 +118,52 @@ def homes(fps: np.ndarray) -> np.ndarray:
     return (a << 12 | b).astype(np.int32)
 
 
-def visits(fps: np.ndarray, threshold: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, extra: int) -> np.ndarray:
+    """The home anchors in a code that takes in so many of the lower bits as well, each word of them a codeword of its own."""
+    return homes(fps).astype(np.int64) << extra | _lower(fps, extra)
+
+
+def _lower(fps: np.ndarray, extra: int) -> np.ndarray:
+    return (fps >> np.uint64(SPARE - extra)).astype(np.int64) & (1 << extra) - 1
+
+
+def visits(fps: np.ndarray, threshold: int = 3, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(index of the fingerprint, anchor) for every anchor that a fingerprint goes to, its home included."""
     *_, first, message, within = golay()
     (s1, m1), (s2, m2) = (_decode(v) for v in halves(fps))
-    home, which, anchors = m1 << 12 | m2, [], []
-    for e in range(threshold + 1):
-        low = within[e - 1][s1] if e else np.zeros(len(fps), np.int64)
-        n1, n2 = within[e][s1] - low, within[threshold - e][s2]
-        i = np.repeat(np.arange(len(fps)), n1 * n2)
-        k = np.arange(len(i)) - np.repeat(np.cumsum(n1 * n2) - n1 * n2, n1 * n2)
-        a = m1[i] ^ message[first[s1[i]] + low[i] + k // n2[i]]
-        b = m2[i] ^ message[first[s2[i]] + k % n2[i]]
-        to = a << 12 | b
-        near = (to - home[i]) % CIRCLE <= HALF
-        which.append(i[near])
-        anchors.append(to[near])
-    return np.concatenate(which), np.concatenate(anchors).astype(np.int32)
-
-
-def _replicate(threshold: int, block: int = 2000):
+    lower, which, found = _lower(fps, extra), [], []
+    home = (m1 << 12 | m2) << extra | lower
+    flips = np.arange(1 << extra)
+    for t3 in range(min(threshold, extra) + 1):
+        flip = flips[np.bitwise_count(flips) == t3]
+        left = threshold - t3
+        for e in range(left + 1):
+            low = within[e - 1][s1] if e else np.zeros(len(fps), np.int64)
+            n1, n2 = within[e][s1] - low, within[left - e][s2]
+            i = np.repeat(np.arange(len(fps)), n1 * n2)
+            k = np.arange(len(i)) - np.repeat(np.cumsum(n1 * n2) - n1 * n2, n1 * n2)
+            a = m1[i] ^ message[first[s1[i]] + low[i] + k // n2[i]]
+            b = m2[i] ^ message[first[s2[i]] + k % n2[i]]
+            i, to = np.repeat(i, len(flip)), np.repeat(a << 12 | b, len(flip))
+            to = to << extra | (lower[i] ^ np.tile(flip, len(to) // max(1, len(flip))))
+            near = (to - home[i]) % (CIRCLE << extra) <= HALF << extra
+            which.append(i[near])
+            found.append(to[near])
+    return np.concatenate(which), np.concatenate(found)
+
+
+def _replicate(threshold: int, extra: int, room: int = 300_000):
+    """As many fingerprints at a time as make about ``room`` visits."""
+    block = max(50, room // (150 * (1 + extra)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(fps), block):
-                i, anchor = visits(fps[at : at + block].view(np.uint64), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[at : at + block][i])], ["anchor", "fp"])
+                part = fps[at : at + block]
+                i, anchor = visits(part.view(np.uint64), threshold, extra)
+                visiting = anchor != anchors(part.view(np.uint64), extra)[i]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[i]), pa.array(visiting)], ["anchor", "fp", "visiting"])
 
     return run
 
@@ -168,37 +195,26 @@ def _links(fp: np.ndarray, host: np.ndarray, start: np.ndarray, threshold: int,
     return np.concatenate([*out_a, np.zeros(0, np.uint64)]), np.concatenate([*out_b, np.zeros(0, np.uint64)])
 
 
-def _compare(threshold: int):
-    """Rows come sorted by anchor and slice; an anchor that a batch breaks off waits for the next batch."""
+def _compare(threshold: int, extra: int):
+    """Rows come sorted by anchor and slice, those at home before visitors. Of an anchor that a batch breaks off only those at home wait
+    for the next batch, so visitors may be any number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(anchor, fp, no, of):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            if rest is not None:
+                got = [np.concatenate(x) for x in zip(rest, got, strict=True)]
+            anchor, fp, no, of, visiting = got
             new = np.ones(len(anchor), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (no[1:] != no[:-1])
-            host = (homes(fp) == anchor) & (slice_of(fp, of) == no)
-            a, b = _links(fp, host, np.flatnonzero(new), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        rest: list[tuple] = []
-        for b in batches:
-            got = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            got[1] = got[1].view(np.uint64)
-            last = len(got[0])
-            while last and (got[0][last - 1], got[2][last - 1]) == (got[0][-1], got[2][-1]):
-                step = max(1, min(last, 1024))
-                same = (got[0][last - step : last] == got[0][-1]) & (got[2][last - step : last] == got[2][-1])
-                if same.all():
-                    last -= step
-                else:
-                    last -= step - 1 - int(np.flatnonzero(~same)[-1])
-            if last or rest and (rest[-1][0][-1], rest[-1][2][-1]) != (got[0][0], got[2][0]):
-                done = [*rest, tuple(x[:last] for x in got)]
-                yield links(*(np.concatenate(x) for x in zip(*done, strict=True)))
-                rest = []
-            if last < len(got[0]):
-                rest.append(tuple(x[last:] for x in got))
-        if rest:
-            yield links(*(np.concatenate(x) for x in zip(*rest, strict=True)))
+            own = fp.view(np.uint64)
+            a, b = _links(own, ~visiting & (slice_of(own, of) == no), np.flatnonzero(new), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            last = int(np.flatnonzero(new)[-1])
+            rest = [x[last:][~visiting[last:]] for x in got]
 
     return run
 
@@ -208,19 +224,27 @@ def slice_of(fp: np.ndarray, slices: np.ndarray) -> np.ndarray:
     return (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % slices
 
 
-def fingerprint_links(distinct: DataFrame, threshold: int = 3, slice_rows: int = 20_000) -> DataFrame:
-    """distinct (fp long, home int), each fingerprint once. Returns links (a, b) that connect all fingerprints within threshold."""
+def fingerprint_links(distinct: DataFrame, threshold: int = 3, slice_rows: int = 20_000, extra: int | None = None) -> DataFrame:
+    """distinct (fp long, home int), each fingerprint once. Returns links (a, b) that connect all fingerprints within threshold.
+
+    extra: how many of the 18 lower bits the code takes in, too. If not given, as many as keep about ``PER_ANCHOR`` fingerprints at home
+    at an anchor, so anchors grow with the data and the comparisons of one don't.
+    """
     if not 0 <= threshold <= 3:
         raise ValueError("the code's tables reach up to three bits")
-    full = distinct.groupBy(F.col("home").alias("anchor")).count().where(F.col("count") > slice_rows).select("anchor", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
-    visit = distinct.select("fp").mapInArrow(tidy(_replicate(threshold)), "anchor int, fp long")
+    if extra is None:
+        n = distinct.count()
+        extra = next((k for k in range(SPARE) if n <= (PER_ANCHOR * CIRCLE) << k), SPARE)
+    home = F.shiftleft(F.col("home").cast("long"), extra).bitwiseOR(F.shiftright("fp", SPARE - extra).bitwiseAND(F.lit((1 << extra) - 1)))
+    full = distinct.groupBy(home.alias("anchor")).count().where(F.col("count") > slice_rows).select("anchor", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
+    visit = distinct.select("fp").mapInArrow(tidy(_replicate(threshold, extra)), "anchor long, fp long, visiting boolean")
     if full.isEmpty():
-        visit = visit.select("anchor", "fp", F.lit(0).alias("slice"), F.lit(1).alias("slices"))
+        visit = visit.select("anchor", "fp", F.lit(0).alias("slice"), F.lit(1).alias("slices"), "visiting")
     else:
-        visit = visit.join(full, "anchor", "left").select("anchor", "fp", F.coalesce("slices", F.lit(1)).alias("slices"))
-        visit = visit.select("anchor", "fp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "slices")
-    dealt = visit.repartition(shuffle_parts(distinct.sparkSession), "anchor", "slice").sortWithinPartitions("anchor", "slice")
-    return dealt.select("anchor", "fp", "slice", "slices").mapInArrow(tidy(_compare(threshold)), "a long, b long")
+        visit = visit.join(full, "anchor", "left").select("anchor", "fp", F.coalesce("slices", F.lit(1)).alias("slices"), "visiting")
+        visit = visit.select("anchor", "fp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "slices", "visiting")
+    dealt = visit.repartition(shuffle_parts(distinct.sparkSession), "anchor", "slice").sortWithinPartitions("anchor", "slice", "visiting")
+    return dealt.select("anchor", "fp", "slice", "slices", "visiting").mapInArrow(tidy(_compare(threshold, extra)), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 3, slice_rows: int = 20_000) -> DataFrame:

@@ -77,6 +77,39 @@ def test_links_connect_all_that_is_near(spark, slice_rows):
     assert components(links, fps) == want
 
 
+@pytest.mark.parametrize("extra", [1, 5, 18])
+def test_near_pairs_meet_in_a_larger_code(extra):
+    rng = np.random.default_rng(extra)
+    x = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    for threshold in (0, 1, 2, 3) if extra < 18 else (1,):
+        y = x.copy()
+        for _ in range(threshold):
+            y ^= np.uint64(1) << rng.integers(0, 64 if threshold < 3 else 20, len(y)).astype(np.uint64)
+        (i, a), (j, b) = S.visits(x, threshold, extra), S.visits(y, threshold, extra)
+        vx, vy = set(zip(i.tolist(), a.tolist(), strict=True)), set(zip(j.tolist(), b.tolist(), strict=True))
+        hx, hy = S.anchors(x, extra).tolist(), S.anchors(y, extra).tolist()
+        assert len(vx) == len(i) and all((k, hx[k]) in vx for k in range(len(x)))
+        assert all((k, hy[k]) in vx or (k, hx[k]) in vy for k in range(len(x)))
+
+
+@pytest.mark.parametrize(("slice_rows", "extra"), [(5, 4), (20_000, 7)])
+def test_links_of_a_larger_code_and_small_batches(spark, slice_rows, extra):
+    """A hot anchor whose visitors come in many batches."""
+    rng = random.Random(8)
+    c = rng.getrandbits(64)
+    fps = {c ^ 1 << k for k in range(64)} | {c ^ 1 << k ^ 1 << m for k in range(64) for m in range(0, 64, 3)} | {c ^ 0b1111 << k for k in range(60)} | {rng.getrandbits(64) for _ in range(200)}
+    fps = sorted(fps)
+    sign = np.array(fps, np.uint64)
+    df = spark.createDataFrame(list(zip(sign.view(np.int64).tolist(), S.homes(sign).tolist(), strict=True)), "fp long, home int")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        links = [(r.a % 2**64, r.b % 2**64) for r in S.fingerprint_links(df, slice_rows=slice_rows, extra=extra).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert components(links, fps) == components([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3], fps)
+
+
 def test_components_of_documents(spark):
     rng = random.Random(3)
     words = ["w%d" % i for i in range(300)]
