@@ -13,7 +13,7 @@ from quarry.functions import text as T
 from quarry.operators import channels as C
 from quarry.operators import chunking, cut, evaluate, fusion, graph, imports, maintain, metrics, registry, relational, rescore, store, vectors
 from quarry.plans import search as P
-from quarry.queries import BM25, CHANNELS, COMMITS, EDGES, IMPORTS, LIKE, PATH, SCORED, TOP20, TYPE_SQL, all_channels, camel, dense, out, query, rounded, scored, sub, toks, types
+from quarry.queries import BM25, CHANNELS, COMMITS, EDGES, IMPORTS, LIKE, ORACLE_SQL, SCORED, TOP20, TYPE_SQL, all_channels, camel, out, query, rounded, scored, sub, toks, types
 from quarry.sources import files as FS
 from quarry.sources import tables as S
 from quarry.sources.shared import new_folder
@@ -551,14 +551,30 @@ def docstring_boost(spark, sf):
     return out(x.withColumn("score", F.col("score") + rescore.docstring_boost("query", "doc")))
 
 
-@query(f"""WITH RECURSIVE q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)), s AS (SELECT query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(v, e.embedding::DOUBLE[]), 9) AS score FROM q, embeddings e),
+#: A recursion that picks one chunk after another.
+ORACLE_SQL["mmr"] = """WITH RECURSIVE q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)), s AS (SELECT query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(v, e.embedding::DOUBLE[]), 9) AS score FROM q, embeddings e),
     h AS MATERIALIZED (SELECT query_id, chunk_id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 50), vs AS MATERIALIZED (SELECT h.*, embedding::DOUBLE[] AS v, max(score) OVER (PARTITION BY query_id) AS mx FROM h JOIN embeddings ON vec_id = chunk_id),
     p AS MATERIALIZED (SELECT a.query_id, a.r AS i, b.r AS j, list_cosine_similarity(a.v, b.v) AS sim FROM vs a JOIN vs b USING (query_id)),
     g AS (SELECT query_id, 1 AS k, [1] AS picked FROM vs WHERE r = 1 UNION ALL SELECT g.query_id, g.k + 1, list_append(picked, (SELECT arg_min(c.r, (-(0.7 * c.score / CASE WHEN c.mx > 0 THEN c.mx ELSE 1 END - 0.3 * (SELECT max(sim) FROM p WHERE p.query_id = g.query_id AND p.i = c.r AND list_contains(g.picked, p.j))), c.r)) FROM vs c WHERE c.query_id = g.query_id AND NOT list_contains(g.picked, c.r))) FROM g WHERE g.k < (SELECT count(*) FROM vs WHERE vs.query_id = g.query_id)),
-    l AS (SELECT query_id, arg_max(picked, k) AS picked FROM g GROUP BY 1), u AS (SELECT query_id, unnest(picked) AS r, generate_subscripts(picked, 1)::INT AS rank FROM l) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM u JOIN vs USING (query_id, r)""")
-def mmr_order(spark, sf):
-    """The same as mmr, with SQL: a recursion that picks one chunk after another."""
-    return out(cut.mmr(C.top_k(dense(spark, sf, 50), 50), S.vectors(spark, sf)), "rank")
+    l AS (SELECT query_id, arg_max(picked, k) AS picked FROM g GROUP BY 1), u AS (SELECT query_id, unnest(picked) AS r, generate_subscripts(picked, 1)::INT AS rank FROM l) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM u JOIN vs USING (query_id, r)"""
+
+
+def _elbow(name: str, source: str, low: str, high: str, least: float) -> str:
+    window = "(PARTITION BY query_id ORDER BY score DESC, chunk_id)"
+    inside = "i >= greatest({0}low, 1) AND i < least({0}n, {0}high)"
+    return f"""{name}_i AS (SELECT *, row_number() OVER {window} - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n, max(score) OVER (PARTITION BY query_id) AS top, lag(score) OVER {window} AS prev, {low} AS low, {high} AS high FROM {source}),
+    {name}_d AS (SELECT query_id, any_value(n) AS n, any_value(top) AS top, any_value(low) AS low, any_value(high) AS high, max(CASE WHEN {inside.format('')} AND prev > score THEN (prev - score) / top END) AS fall FROM {name}_i GROUP BY 1),
+    {name}_e AS (SELECT d.query_id, d.n, d.top, d.low, d.high, fall, min(CASE WHEN {inside.format('d.')} AND (prev - score) / d.top = fall THEN i END) AS place FROM {name}_d d JOIN {name}_i USING (query_id) GROUP BY ALL),
+    {name} AS (SELECT query_id, least(15, CASE WHEN n <= low THEN n WHEN top <= 0 THEN least(low, n) ELSE least(greatest(low, least(high, CASE WHEN coalesce(fall, 0) < {least} THEN least(n, high) ELSE place END)), n) END) AS keep FROM {name}_e)"""
+
+
+RANKED = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank"
+ORACLE_SQL["adaptive_cut"] = f"""WITH {SCORED}, {TYPE_SQL}, a1 AS (SELECT sc.query_id, chunk_id, score, split_part(file_path, '/', 1) AS file, query_type, max(score) OVER (PARTITION BY query_id) AS top FROM sc JOIN ty USING (query_id)),
+    a2 AS (SELECT * EXCLUDE top, max(score) OVER (PARTITION BY query_id, file) AS best FROM a1 WHERE top <= 0 OR score >= top * CASE query_type WHEN 'identifier' THEN 0.08 WHEN 'keyword' THEN 0.15 ELSE 0.10 END), a3 AS (SELECT * FROM a2 WHERE best - score < 0.1),
+    b1 AS (SELECT * FROM a3 WHERE query_type <> 'identifier'), {_elbow('b2', 'b1', "CASE query_type WHEN 'mixed' THEN 5 ELSE 3 END", '15', 0.02)}, b3 AS (SELECT *, {RANKED} FROM b1),
+    c1 AS (SELECT * FROM a3 WHERE query_type = 'identifier'), c2 AS (SELECT query_id, file AS chunk_id, max(score) AS score FROM c1 GROUP BY 1, 2), {_elbow('c3', 'c2', '3', '15', 0.005)}, c4 AS (SELECT query_id, chunk_id AS file, {RANKED}, count(*) OVER (PARTITION BY query_id) AS files FROM c2),
+    c5 AS (SELECT *, {RANKED} FROM c1), c6 AS (SELECT c5.query_id, c5.chunk_id, c5.score FROM c5 JOIN c4 USING (query_id, file) JOIN c3 USING (query_id) WHERE CASE WHEN keep * 3 <= files * 2 THEN c4.rank <= keep ELSE c5.rank <= 15 END)
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM b3 JOIN b2 USING (query_id) WHERE rank <= keep UNION ALL SELECT query_id, chunk_id, round(score, 6), {RANKED} FROM c6"""
 
 
 # ---------------------------------------------------------------- graph
