@@ -737,3 +737,139 @@ def code_blocks(spark, sf):
 def name_suggestions(spark, sf):
     x = C.top_k(rounded(fusion.rrf(all_channels(spark, sf))), 20).join(S.chunks(spark, sf).select("chunk_id", F.col("lang").alias("name")), "chunk_id")
     return P.suggestions(x.withColumn("label", F.when(F.col("query_id") % 2 == 0, "ambiguous").otherwise("inferred")))
+
+
+# ---------------------------------------------------------------- chunks, files and tables of the index
+
+
+@query("SELECT p_partkey, p_size * 400 + 1 <= 8192 AS binary FROM part")
+def binary_files(spark, sf):
+    """A NUL after so many characters; only the first 8 KiB count."""
+    content = F.encode(F.concat(F.repeat(F.lit("x"), (F.col("p_size") * 400).cast("int")), F.lit("\0y")), "UTF-8")
+    return S.read(spark, sf, "part").select("p_partkey", FS.binary(content).alias("binary"))
+
+
+PART_CHUNKS = "SELECT p_partkey AS chunk_id, p_type AS file_path, 'f' || p_size AS name, ['f' || (p_size + 1), 'm.f' || (p_size % 7), 'x.f' || p_size] AS calls FROM part"
+
+
+def part_chunks(spark, sf) -> DataFrame:
+    f = lambda x: F.concat(F.lit("f"), x.cast("string"))
+    n = F.col("p_size")
+    return S.read(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_type").alias("file_path"), f(n).alias("name"), F.array(f(n + 1), F.concat(F.lit("m."), f(n % 7)), F.concat(F.lit("x."), f(n))).alias("calls"))
+
+
+@query(f"WITH c AS ({PART_CHUNKS}), e AS (SELECT chunk_id, file_path, string_split(unnest(calls), '.')[-1] AS name FROM c) SELECT DISTINCT e.chunk_id AS src, c.chunk_id AS dst FROM e JOIN c USING (file_path, name) WHERE e.chunk_id <> c.chunk_id")
+def calls_in_file(spark, sf):
+    return chunking.call_edges(part_chunks(spark, sf))
+
+
+@query(f"WITH c AS ({PART_CHUNKS}), e AS (SELECT chunk_id, file_path, string_split(unnest(calls), '.')[-1] AS name FROM c), d AS (SELECT DISTINCT e.chunk_id AS src, c.chunk_id AS dst FROM e JOIN c USING (file_path, name) WHERE e.chunk_id <> c.chunk_id) SELECT dst AS chunk_id, array_to_string(list_sort(list_distinct(list(c.name))), ',') AS called_by FROM d JOIN c ON c.chunk_id = src GROUP BY 1")
+def callers_in_file(spark, sf):
+    return chunking.called_by(part_chunks(spark, sf)).select("chunk_id", F.array_join("called_by", ",").alias("called_by"))
+
+
+SUMMARY = "'function ' || p_name || '; params a, b; calls ' || p_type || CASE WHEN p_size % 50 > 1 THEN '; complexity ' || (p_size % 50) ELSE '' END || '; Does ' || p_brand"
+
+
+def known(spark, sf) -> DataFrame:
+    two = F.array(F.lit("a"), F.lit("b"))
+    return S.read(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"), F.lit("function").alias("ast_kind"), F.col("p_name").alias("name"), two.alias("params"), F.array("p_type").alias("calls"), (F.col("p_size") % 50).alias("complexity"), F.concat(F.lit("Does "), "p_brand", F.lit("\nmore")).alias("docstring"), F.concat(F.lit("call getItemById "), "p_name").alias("content"))
+
+
+@query(f"SELECT p_partkey AS chunk_id, {SUMMARY} AS summary, 'by get id item' || chr(10) || {SUMMARY} || chr(10) || 'call getItemById ' || p_name AS indexed FROM part")
+def chunk_summaries(spark, sf):
+    x = known(spark, sf)
+    return x.select("chunk_id", chunking.summary(x).alias("summary"), chunking.index_text(x).alias("indexed"))
+
+
+ROLE_PATHS = ("src/services/a.py", "x/models/b.py", "tests/c.py", "README.md", "src/plain.py", "db/migrate/d.rb", "a/utils/e.ts", "main.go")
+LINKED = ("sqlalchemy.orm", "fastapi", "pytest", "os")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, lower({pick_sql(ROLE_PATHS, 'p_partkey')}) AS p, {pick_sql(LINKED, 'p_size')} AS i FROM part), r AS (SELECT *, CASE {' '.join(f"WHEN {some_of('p', names)} THEN {quoted(role)}" for role, names, _ in T.FILE_ROLES)} {' '.join(f"WHEN {some_of('i', names)} THEN {quoted(role)}" for role, names in T.IMPORT_ROLES)} ELSE 'unknown' END AS role FROM p)
+    SELECT p_partkey, role, (CASE role {' '.join(f"WHEN {quoted(role)} THEN {weight}" for role, _, weight in T.FILE_ROLES)} ELSE 1 END)::DOUBLE AS weight FROM r""")
+def file_roles(spark, sf):
+    x = S.read(spark, sf, "part").withColumn("role", T.file_role(pick(ROLE_PATHS, "p_partkey"), F.array(pick(LINKED, "p_size"))))
+    return x.select("p_partkey", "role", T.role_weight("role").alias("weight"))
+
+
+@query("SELECT event_id, (props ->> 'k')::INT AS k, '{\"kind\":\"' || event_type || '\",\"n\":' || user_id || '}' AS meta FROM events")
+def json_metadata(spark, sf):
+    x = S.read(spark, sf, "events")
+    return x.select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("n"))).alias("meta"))
+
+
+@query(f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc), l AS (SELECT *, file_path || ':1-9  ' || format('{{:,.4f}}', score) || chr(10) AS b FROM r), u AS (SELECT *, sum(strlen(b)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM l)
+    SELECT query_id, string_agg(b, '' ORDER BY rank) AS text FROM u WHERE used <= 1200 OR rank = 1 GROUP BY 1""")
+def formatted_results(spark, sf):
+    return P.formatted(C.top_k(scored(spark, sf).withColumns({"start_line": F.lit(1), "end_line": F.lit(9)}), 100), 1200)
+
+
+@query("""WITH o AS (SELECT doc_id AS path, md5(text) AS hash, 'old' AS v FROM documents WHERE lang <> 'de'), n AS (SELECT doc_id AS path, CASE WHEN source = 'src1' THEN md5(text || 'x') ELSE md5(text) END AS hash, 'new' AS v FROM documents WHERE lang <> 'fr')
+    SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.hash = n.hash THEN 'old' ELSE 'new' END AS v FROM n LEFT JOIN o USING (path)""")
+def incremental_upsert(spark, sf):
+    """The table after its changes: rows of changed and new keys are the fresh ones, rows of keys that are gone go."""
+    d = S.read(spark, sf, "documents")
+    old = d.where("lang <> 'de'").select(F.col("doc_id").alias("path"), F.md5("text").alias("hash"), F.lit("old").alias("v"))
+    new = d.where("lang <> 'fr'").select(F.col("doc_id").alias("path"), F.when(F.col("source") == "src1", F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text")).alias("hash"), F.lit("new").alias("v"))
+    return maintain.upsert(old, new, maintain.diff(old, new)).select("path", "v")
+
+
+@query("SELECT label, count(*) AS n, round(sum(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS size FROM embeddings WHERE label <> 3 GROUP BY 1")
+def vectors_deleted(spark, sf):
+    """The store after a deletion, as a reader finds it who follows the pointer."""
+    v = S.vectors(spark, sf)
+    at = new_folder(spark, "vectors")
+    s = store.VectorStore(spark, at, "v1")
+    s.append(v)
+    s.delete(v.where("label = 3"))
+    s.publish()
+    left = store.VectorStore.active(spark, at).rows()
+    return left.join(v.select("chunk_id", "label"), "chunk_id").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(N.norm("vector")), 6).alias("size"))
+
+
+@query("WITH e AS (SELECT label AS cid, generate_subscripts(embedding, 1) AS d, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT cid, d, (avg(x))::FLOAT::DOUBLE AS x FROM e GROUP BY 1, 2) SELECT cid::INT AS cid, round(sum(x), 5) AS total, count(*) AS dims FROM m GROUP BY 1")
+def centroid_file(spark, sf):
+    """Means written as a NumPy file and read again, in single precision."""
+    mean = S.vectors(spark, sf).select("label", F.posexplode("vector").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    c = mean.groupBy(F.col("label").cast("int").alias("cid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vector"))
+    at = new_folder(spark, "centroids") + ".npy"
+    FS.save_centroids(c, at)
+    return FS.load_centroids(spark, at).select("cid", F.round(N.total("vector"), 5).alias("total"), F.size("vector").cast("long").alias("dims"))
+
+
+@query(ORACLE_SQL["pagerank_fixed"])
+def centrality_kept(spark, sf):
+    """PageRank as a signal that is kept at build time."""
+    e = S.edges(spark, sf)
+    edges = graph.directed(*(e.where(F.col("kind") == k) for k in ("call", "type_ref", "hierarchy")))
+    kept = registry.keep_centrality(new_folder(spark, "signals"), S.nodes(spark, sf), edges, iterations=5, tolerance=0.0)
+    return kept.select("chunk_id", F.round(F.col("centrality") * 1000, 6).alias("centrality"))
+
+
+@query("SELECT 'd' || doc_id AS item, 'q' || doc_id AS query_id, left(text, 20) AS text FROM documents WHERE length(trim(lang, ' ')) > 0")
+def evaluation_corpus(spark, sf):
+    docs, queries, gold = evaluate.corpus_from_rows(S.read(spark, sf, "documents"), "text", "lang", "doc_id")
+    return gold.join(queries, "query_id").drop("text").join(docs, "item").select("item", "query_id", F.left("text", F.lit(20)).alias("text"))
+
+
+@query("WITH g AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT 'q' || doc_id AS query_id, doc_id::VARCHAR AS item FROM g WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = g.doc_id)")
+def evaluation_gold(spark, sf):
+    d, r = S.read(spark, sf, "documents"), S.read(spark, sf, "labels")
+    corpus = d.select(F.col("doc_id").cast("string").alias("_id"), "text")
+    queries = r.select(F.concat(F.lit("q"), "doc_id").alias("_id"), F.lit("x").alias("text")).distinct()
+    rel = r.select(F.concat(F.lit("q"), "doc_id").alias("query-id"), F.col("doc_id").cast("string").alias("corpus-id"), F.col("quality").alias("score"))
+    return evaluate.corpus_from_splits(corpus, queries, rel)[2]
+
+
+@query(ORACLE_SQL["memory_recall"].replace("FROM conversations", "FROM (SELECT * FROM conversations WHERE role = 'user')"))
+def recall_in_scope(spark, sf):
+    return rounded(relational.recall(S.notes(spark, sf), S.queries(spark, sf), scope="user").select("query_id", "note_id", "score"), 6)
+
+
+@query(f"WITH {EDGES}, s AS (SELECT 's' || chunk_id AS symbol, chunk_id FROM nodes), r AS (SELECT symbol, CASE kind WHEN 'call' THEN 'callee' ELSE kind END AS relation, dst AS c FROM s JOIN ed ON src = s.chunk_id UNION SELECT symbol, CASE kind WHEN 'call' THEN 'caller' ELSE kind END, src FROM s JOIN ed ON dst = s.chunk_id WHERE kind <> 'call' OR src <> dst), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, relation ORDER BY c) AS k FROM r), "
+       "l AS (SELECT symbol, relation, relation || ' (' || count(*) || ')' || chr(10) || string_agg('  n' || c || '  f' || (c % 4) || '.py:1', chr(10) ORDER BY '  n' || c || '  f' || (c % 4) || '.py:1') AS part FROM k WHERE k <= 20 GROUP BY 1, 2) SELECT symbol, string_agg(part, chr(10) ORDER BY relation) AS text FROM l GROUP BY 1")
+def formatted_walks(spark, sf):
+    n = S.nodes(spark, sf)
+    c = n.select("chunk_id", F.concat(F.lit("f"), F.col("chunk_id") % 4, F.lit(".py")).alias("file_path"), F.lit(1).alias("start_line"), F.concat(F.lit("n"), "chunk_id").alias("name"))
+    return P.formatted_graph(graph.walk(n.select(F.concat(F.lit("s"), "chunk_id").alias("symbol"), "chunk_id"), S.edges(spark, sf)), c)

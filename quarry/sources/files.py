@@ -182,7 +182,7 @@ def save_centroids(centroids: DataFrame, path: str, most: int = 65_536) -> None:
     rows = centroids.select("cid", "vector").orderBy("cid").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} centroids")
-    store, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    store, at = fs.FileSystem.from_uri(path if re.match(r"\w+:/", path) else "file://" + path)
     with store.open_output_stream(at) as f:
         np.lib.format.write_array(f, np.array([r.vector for r in rows], np.float32).reshape(len(rows), -1))
 
@@ -193,7 +193,7 @@ def load_centroids(spark: SparkSession, path: str) -> DataFrame:
     import numpy as np
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    store, at = fs.FileSystem.from_uri(path if re.match(r"\w+:/", path) else "file://" + path)
     with store.open_input_stream(at) as f:
         m = np.load(io.BytesIO(f.read()), allow_pickle=False)
     return spark.createDataFrame([(i, v) for i, v in enumerate(m.astype(float).tolist())], "cid int, vector array<double>")
