@@ -106,6 +106,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the rows count as kept. Rows repeated with the same identifier and text all
     appear, and all count as kept; ``deduplicated`` returns one of them. An empty
     table gives an empty result. Other columns, whatever their names, are ignored.
+    Identifiers are whole numbers, or read as such; others are an error.
     """
     rows = cut(digests(docs, id_col, text_col))
     runs = merged_runs(rows, keep, fan_in, shards)

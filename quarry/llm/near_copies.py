@@ -1,5 +1,8 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, beside those that SimHash links.
 
+A text's key is 64 bits of a hash: that two different texts share one is not to be
+expected below some billions of texts, and would only leave one of them uncompared.
+
 Three bits of one fingerprint are too few for such pairs, so candidates come from
 min-wise hashes too: BANDS bands of ROWS hashes each. Two texts of similarity s
 share a bucket with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Every

@@ -255,6 +255,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprint zero and link like any other. A null doc_id is in its text's
     component, and never its smallest; a component of null identifiers only has a
     null component_id. Repeated rows each appear. Other columns are ignored.
+    Identifiers are whole numbers, or read as such; others are an error.
     """
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_fingerprints(words)), "doc_id long, fp long, home int"))
     each = rows.groupBy("fp", "home").agg(F.min("doc_id").alias("least"))

@@ -176,22 +176,30 @@ class Reader:
         return self.slice(int(self.first[k]), int(self.first[k + 1]) if k + 1 < self.n_docs else self.n_ids)
 
 
+def _store(uri: str):
+    """(file system, path) of a folder or file of the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def _put(folder: str, name: str, raw: bytes) -> str:
-    """Written beside its place and then moved there: a task that runs again replaces the file by the same one."""
+    """Written beside its place and then moved there: a task that runs again, because its executor was lost, replaces the file by the
+    same one, also on file systems that don't move onto a file."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(at := f"{root}/.{name}.{uuid.uuid4().hex}") as f:
         f.write(raw)
+    if store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
+        store.delete_file(f"{root}/{name}")
     store.move(at, f"{root}/{name}")
     return f"{folder}/{name}"
 
 
 def _get(path: str) -> bytes:
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = _store(path)
     with store.open_input_stream(at) as f:
         return f.read()
 

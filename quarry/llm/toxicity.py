@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import tidy
@@ -316,13 +316,17 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int = 1 << 26) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``most`` labelled rows that aren't held out, half of them for either label where there are as
-    many; which, is settled by a hash of the identifier. Only identifiers are sorted; texts are read for the chosen ones."""
+    many; which, is settled by a hash of the identifier. Only identifiers are sorted; texts are read for the chosen ones, of which those
+    stay that have ``most_bytes`` together, in the order of the hash. Of rows repeated with one identifier the least text counts."""
     usable = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
     # at most ``most`` rows of two numbers, so this side may be broadcast
     chosen = usable.where("__y = 1").orderBy(F.xxhash64("__id"), "__id").limit(most // 2).unionByName(usable.where("__y = 0").orderBy(F.xxhash64("__id"), "__id").limit(most - most // 2))
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).groupBy("__id").agg(F.first(text_col).alias("t"), F.first("__y").alias("y")).orderBy(F.xxhash64("__id"), "__id").collect()
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).groupBy("__id").agg(F.min(text_col).alias("t"), F.first("__y").alias("y"))
+    # a window over all of them: they are at most ``most``
+    order = Window.orderBy(F.xxhash64("__id"), "__id")
+    rows = rows.withColumn("n", F.sum(F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")).over(order)).where(F.col("n") <= most_bytes).orderBy(F.xxhash64("__id"), "__id").collect()
     return [r.t or "" for r in rows], np.array([r.y for r in rows], np.int64)
 
 

@@ -50,7 +50,7 @@ def rule_table(spark, rules) -> DataFrame:
     return df.withColumn("digest", _digest(F.col("rule"))).withColumn("prefix", _prefix(F.col("digest")))
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", most_sent: int = 100_000) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict.
 
     rule is that of the longest rule that fits, as host + path, else null; verdict
@@ -72,7 +72,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow", id_col:
     each = parsed.where("host <> ''").select("host", "path").distinct()
     each = each.select("host", "path", F.explode(F.array_compact(F.array(*expressions))).alias("expression"))
     each = each.withColumn("own", _digest(F.col("expression"))).withColumn("prefix", _prefix(F.col("own"))).drop("expression")
-    hits = each.join(rule_table(spark, rules), "prefix").where("own = digest")
+    # a list that the caller holds in memory: sent to every task, so a suffix that most hosts have is no join key
+    table = rule_table(spark, rules)
+    hits = each.join(F.broadcast(table) if len(rules) <= most_sent else table, "prefix").where("own = digest")
     # the largest of (length, host's length, block before allow): each rule is there once, so no ties remain
     best = F.max(F.struct(F.length("rule"), F.length("r_host"), "action", "rule"))
     found = hits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))

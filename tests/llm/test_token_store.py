@@ -69,3 +69,9 @@ def test_pieces_encoded_together():
     pieces = [p.encode() for p in sorted(pieces)]
     want = [np.array(lib.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
     assert c.encode_pieces(pieces) == want
+
+
+def test_a_file_written_again_replaces_the_first(tmp_path):
+    at = f"file:{tmp_path}/x"
+    assert S._put(at, "a.dac", b"one") == S._put(at, "a.dac", b"two") and S._get(f"{at}/a.dac") == b"two"
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["a.dac"]

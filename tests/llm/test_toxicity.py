@@ -99,3 +99,49 @@ def test_cut():
     assert 1 < T.best_cut(np.array([3.0, 2.0, 1.0, 0.0]), np.array([True, True, False, False])) < 2
     assert T.best_cut(np.array([1.0, 1.0]), np.array([True, False])) < 1
     assert T.best_cut(np.array([1.0]), np.array([False])) > 1
+
+
+def slow_odds(model, text, room):
+    """One text by plain loops: every filter at every word, the largest of each, their sum."""
+    rows = []
+    for _, _, t in T.read([text], len(model.words), room=room, overlap=model.overlap):
+        own = t.buckets[~t.pad]
+        starts = np.concatenate([np.flatnonzero(~t.pad)])
+        stretch = np.searchsorted(t.stretch, starts, "right") - 1
+        for k in range(len(t.stretch)):
+            part = own[stretch == k]
+            rows += part.tolist() if k == 0 else part[model.overlap :].tolist()  # a stretch begins with the last words of the one before
+    x = [sum((model.words[b] for b in row), np.zeros(model.words.shape[1])) for row in rows]
+    total = float(model.shift)
+    for k, (w, conv, bias) in enumerate(zip(model.widths, model.conv, model.bias, strict=True)):
+        for f in range(model.filters):
+            best = float(bias[f])
+            for p in range(len(x)):
+                best = max(best, float(bias[f]) + sum(float(x[p + j] @ conv[j, :, f]) for j in range(w) if p + j < len(x)))
+            total += best * float(model.out[k * model.filters + f])
+    return total
+
+
+def test_scores_as_plain_loops():
+    rng = np.random.default_rng(4)
+    model = T.Classifier(buckets=256, dims=4, filters=3)
+    model.words = rng.standard_normal(model.words.shape).astype(np.float32)
+    model.words[0] = 0
+    model.bias = [rng.standard_normal(3).astype(np.float32) for _ in model.widths]
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = ["", "w1", "w1 w2", " ".join(rng.choice(vocabulary, 40)), " ".join(rng.choice(vocabulary, 700)), None, "W3, w4; é ü w5"]
+    got, _ = model.log_odds(texts)
+    want = [slow_odds(model, t, 1 << 19) for t in texts]
+    assert got == pytest.approx(want, abs=1e-4)
+    alone = [float(o) for t in texts for _, _, part in T.read([t], 256, room=300, overlap=model.overlap) for o in model.odds(part)]
+    assert alone == pytest.approx(want, abs=1e-4)  # long texts in stretches
+
+
+def test_sample_is_the_same_whatever_the_partitions(spark):
+    rows = [(i, f"text {i} {k}") for i in range(40) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    a, b = (T.labelled_sample(docs.repartition(n), labels, "doc_id", "text", "toxic", 20) for n in (1, 7))
+    assert a[0] == b[0] and a[1].tolist() == b[1].tolist() and all(t.endswith(" 0") for t in a[0])
+    few = T.labelled_sample(docs, labels, "doc_id", "text", "toxic", 20, most_bytes=50)[0]
+    assert few == a[0][: len(few)] and 0 < sum(map(len, few)) <= 50
