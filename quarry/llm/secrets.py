@@ -2,9 +2,10 @@
 
 Two models of the next character given the two before it, one of random strings
 and one of ordinary identifiers and words, are trained from labelled samples. A
-candidate (a long run of token characters with a digit or mixed case in it) whose
-log-likelihood ratio per character passes a threshold, set on the samples, is
-reported beside the spans of the patterns.
+candidate (a long run of token characters, but for numbers and runs of fewer than
+six different ones) whose log-likelihood ratio per character passes a threshold,
+set on the samples, is reported beside the spans of the patterns. Letters of one
+case have a pair of models of their own.
 """
 
 from __future__ import annotations
@@ -71,6 +72,17 @@ def default_samples(n: int = 4000, seed: int = 11) -> list[tuple[int, str]]:
     return out
 
 
+def one_case_samples(n: int = 4000, seed: int = 12) -> list[tuple[int, str]]:
+    """Labelled samples of letters in one case, or with a capital first: strings drawn at random, and words run together."""
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        out.append((1, "".join(rng.choices(letters.upper() if k % 2 else letters, k=rng.randint(16, 64)))))
+        t = "".join(rng.choice(PARTS) for _ in range(rng.randint(3, 9)))
+        out.append((0, (t, t.upper(), t.capitalize())[k % 3]))
+    return out
+
+
 class Markov:
     """Log-probabilities of a character after two others, smoothed over one and over none."""
 
@@ -92,28 +104,38 @@ def codes(t: str) -> np.ndarray:
     return np.concatenate([[0, 0], TABLE[np.frombuffer(t.encode("latin-1", "replace"), np.uint8)]])
 
 
-class Model:
-    def __init__(self, samples: list[tuple[int, str]], least: int = 20, false_alarms: float = 0.001):
-        """least: the shortest candidate; false_alarms: the share of ordinary samples, not trained on, that may pass the threshold."""
+class Ratio:
+    def __init__(self, samples: list[tuple[int, str]], least: int = 20, false_alarms: float = 0.001, lowest: float = 0.2):
+        """least: the shortest candidate; false_alarms: the share of ordinary samples, not trained on, that may pass the threshold, which
+        is no lower than ``lowest``."""
         self.least = least
         train, rest = [s for k, s in enumerate(samples) if k // 2 % 4], [s for k, s in enumerate(samples) if not k // 2 % 4]
         random_, ordinary = (Markov([t for y, t in train if y == label]) for label in (1, 0))
         self.ratio = random_.log - ordinary.log
         scores = np.sort([self.score(t) for y, t in rest if not y and len(t) >= least] or [0.0])[::-1]
-        self.threshold = max(0.2, float(scores[min(len(scores) - 1, int(false_alarms * len(scores)))]) + 1e-6)
+        self.threshold = max(lowest, float(scores[min(len(scores) - 1, int(false_alarms * len(scores)))]) + 1e-6)
 
     def score(self, t: str) -> float:
         """Log-likelihood ratio per character."""
         c = codes(t)
         return float(self.ratio[c[:-2], c[1:-1], c[2:]].sum()) / max(1, len(t))
 
+
+class Model:
+    """Two pairs of models: one for runs with digits or mixed case, one for letters of one case. Words of the languages that the second
+    doesn't know score up to 2.2, so its threshold is higher."""
+
+    def __init__(self, samples: list[tuple[int, str]], least: int = 20, one_case: list[tuple[int, str]] | None = None):
+        self.least, self.mixed, self.one_case = least, Ratio(samples, least), Ratio(one_case if one_case is not None else one_case_samples(), least, lowest=2.5)
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         out = []
         for m in CANDIDATE.finditer(text):
             t = m[0]
-            if len(t) < self.least or t.isalpha() and (t.islower() or t.isupper() or t.istitle()) or t.isdigit() or len(set(t)) < 6:
+            if len(t) < self.least or t.isdigit() or len(set(t)) < 6:
                 continue
-            if self.score(t) > self.threshold:
+            model = self.one_case if t.isalpha() and (t.islower() or t.isupper() or t.istitle()) else self.mixed
+            if model.score(t) > model.threshold:
                 out.append(m.span())
         return out
 
@@ -130,18 +152,19 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def find_secrets(docs: DataFrame, samples: list[tuple[int, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
+def find_secrets(docs: DataFrame, samples: list[tuple[int, str]] | None = None, one_case: list[tuple[int, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row of docs.
 
     Spans are kind:start:end in code points, end exclusive, by start and then
     assign, access, hex, random. ``samples`` are labelled strings (1 random, 0
     ordinary) that the models are trained on, ``default_samples`` if none are
-    given; their number is the caller's and doesn't grow with docs. Texts are read
+    given, and ``one_case`` those for letters of one case; their number is the
+    caller's and doesn't grow with docs. Texts are read
     whole, whatever their length; a null text counts as empty. Repeated rows and
     null identifiers each appear; other columns are ignored, and an empty table
     gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Model(samples if samples is not None else default_samples(), least))
+    model = docs.sparkSession.sparkContext.broadcast(Model(samples if samples is not None else default_samples(), least, one_case))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

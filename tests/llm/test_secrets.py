@@ -65,3 +65,29 @@ def test_other_samples(spark):
     got = S.labelled(df, "y", "t", most=100)
     assert len(got) == 200 and sum(y for y, _ in got) == 100
     assert S.Model(got).spans("q7Zx9LmP2vTb4RkW8sYd1NcF")
+
+
+def test_letters_of_one_case(model):
+    """Random letters are told from words run together, also from words of languages that the samples don't have."""
+    held = S.one_case_samples(2000, seed=98)
+    random_ = [t for y, t in held if y and len(t) >= 24]
+    ordinary = [t for y, t in held if not y and len(t) >= 20]
+    assert sum(bool(model.spans(t)) for t in random_) > 0.93 * len(random_) and sum(bool(model.spans(t)) for t in ordinary) < 0.005 * len(ordinary)
+    for t in ("internationalization", "electroencephalographically", "uncharacteristically", "Donaudampfschifffahrtsgesellschaft", "incomprehensibilities"):
+        assert model.spans(t) == [], t
+
+
+def test_secrets_of_documents(model, sf):
+    """Keys that the patterns know are found by the models as well, and nothing else in these texts."""
+    import pyarrow.parquet as pq
+
+    keys = found = others = 0
+    for text in pq.read_table(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet")["text"].to_pylist():
+        base, spans = S.base_spans(text or ""), model.spans(text or "")
+        for a, k, b in base:
+            a = S.ASSIGN.match(text, a).start(2) if k == 0 else a
+            if b - a >= 20:
+                keys += 1
+                found += any(p < b and q > a for p, q in spans)
+        others += sum(not any(p < b and q > a for a, _, b in base) for p, q in spans)
+    assert keys > 20 and found == keys and others == 0
