@@ -197,13 +197,17 @@ def agent(index: Index, query: str, mode: str | None = None) -> tuple[str, DataF
         return route, plain(10, grep=True) if out.isEmpty() else out
     if route == "regex":
         return route, plain(20, grep=True, regex=query)
-    if route in ("structural", "architecture") and index.edges is not None:
+    if route == "architecture" and index.edges is not None:
+        return route, overview(index)
+    if route == "feature_planning":
+        return route, feature_plan(index, query)
+    if route == "structural" and index.edges is not None:
         name = query.strip("?!. ").split()[-1]
         hit = index.chunks.where(F.lower("name") == name.lower()).select(F.lit(name).alias("symbol"), "chunk_id") if "name" in index.chunks.columns else None
         if hit is not None and not hit.isEmpty():
             return route, graph.walk(hit, index.edges)
         route = "deep"
-    if route in ("deep", "feature_planning"):
+    if route in ("deep", "architecture"):
         return route, deep_search(index, query)
     if route == "exhaustive":
         lists = multi_search(index, dict(enumerate(facets(query))), SearchSpec(max_results=20, adaptive=False))
@@ -237,6 +241,45 @@ def architecture(index: Index, centrality: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def overview(index: Index, centrality: DataFrame | None = None) -> DataFrame:
+    """(section, rank, line): the most central chunks, the largest communities and the boundaries that most imports cross, as many as fit the
+    number of chunks. centrality is what was kept at build time; without it PageRank runs now."""
+    if centrality is None:
+        centrality = graph.pagerank(index.chunks.select("chunk_id"), index.edges.where("kind = 'call'"))
+    parts, names = architecture(index, graph.cut(centrality)), index.chunks
+    what = F.coalesce("name", F.lit("?")) if "name" in names.columns else F.lit("?")
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  a few rows
+    out = parts["god_nodes"].select(F.lit("central").alias("section"), place(F.desc("centrality"), "chunk_id").alias("rank"), F.concat(what, F.lit("  "), "file_path").alias("line"))
+    if "communities" in parts:
+        c = parts["communities"].join(names.withColumnRenamed("chunk_id", "component"), "component")
+        out = out.unionByName(c.select(F.lit("community").alias("section"), place(F.desc("size"), "component").alias("rank"), F.concat(what, F.lit("  "), "file_path", F.lit("  "), F.col("size").cast("string")).alias("line")))
+    if "boundaries" in parts:
+        b = parts["boundaries"]
+        out = out.unionByName(b.select(F.lit("boundary").alias("section"), place(F.desc("count"), "from_dir", "to_dir").alias("rank"), F.concat("from_dir", F.lit(" -> "), "to_dir", F.lit("  "), F.col("count").cast("string")).alias("line")))
+    return out
+
+
+def feature_plan(index: Index, query: str, most: int = 40) -> DataFrame:
+    """(step, chunk_id, file_path) of what a feature would touch: chunks to change, chunks of files that import these or are imported, and tests
+    that call them. A chunk stands in its first step, and no more than ``most`` are named in one."""
+    found = graph.cut(deep_search(index, query).select("chunk_id", "file_path").distinct())
+    steps = [found.select(F.lit(1).alias("o"), F.lit("change").alias("step"), "chunk_id", "file_path")]
+    places = index.chunks.select("chunk_id", "file_path")
+    if index.imports is not None:
+        near = graph.import_neighbours(found.select(F.lit(0).alias("query_id"), "file_path").distinct(), index.imports).select("file_path")
+        steps.append(places.join(near, "file_path", "left_semi").select(F.lit(2).alias("o"), F.lit("follow").alias("step"), "chunk_id", "file_path"))
+    if index.edges is not None:
+        by = index.edges.where("kind = 'call'").join(found.select(F.col("chunk_id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("chunk_id")).distinct()
+        tests = places.join(by, "chunk_id").where(T.file_role("file_path") == "test")
+        steps.append(tests.select(F.lit(3).alias("o"), F.lit("test").alias("step"), "chunk_id", "file_path"))
+    u = steps[0]
+    for s in steps[1:]:
+        u = u.unionByName(s)
+    first = u.groupBy("chunk_id", "file_path").agg(F.min(F.struct("o", "step")).alias("m"))
+    w = Window.partitionBy("m.o").orderBy("file_path", "chunk_id")
+    return first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("m.step", "chunk_id", "file_path")
+
+
 def docs_context(index: Index, language) -> dict[str, DataFrame]:
     return {"languages": relational.language_stats(index.chunks, language), "files": relational.per_file(index.chunks, "chunks")}
 

@@ -288,3 +288,16 @@ def test_shortcuts_and_scaffolds(index, spark):
     rows = P.module_scaffold(index, "src/auth").collect()
     assert {(r.section, r.line) for r in rows} >= {("symbols", "src/auth/login.py: login_user"), ("calls", "make_token"), ("called by", "test_login_user")}
     assert len(P.module_scaffold(index, "src/auth", 10).collect()) < len(rows)
+
+
+def test_overview_and_feature_plan(index, spark):
+    by = {r.chunk_id: r.name for r in index.chunks.where("name is not null").collect()}
+    route, rows = P.agent(index, "give me an architecture overview")
+    rows = rows.collect()
+    assert route == "architecture" and {r.section for r in rows} == {"central"} and [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, len(rows) + 1))
+    assert min(rows, key=lambda r: r["rank"]).line == "login_user  src/auth/login.py"  # a caller that calls two others
+    im = spark.createDataFrame([("src/auth/login.py", "src/auth/session.py"), ("src/store/cache.py", "src/auth/session.py")], "importer string, imported string")
+    more = P.Index(index.chunks, index.vectors, index.edges, im, index.encode, index.text)
+    route, plan = P.agent(more, "how do I add a token to open_session")
+    plan = [(r.step, by.get(r.chunk_id)) for r in plan.collect()]
+    assert route == "feature_planning" and ("change", "open_session") in plan and len(plan) == len(set(plan)) and {s for s, _ in plan} <= {"change", "follow", "test"}
