@@ -1,6 +1,11 @@
 """The corpus pipeline: each stage takes what the one before it kept, as a table of documents, and its decisions take effect.
 
 A stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents.
+
+Null and empty texts are texts like any other: they score as no evidence, are copies of one another, hold no
+benchmark item and have no ids. A null identifier loses to any other. Of rows repeated with identifier and text one
+stays. An empty table gives an empty result. Documents may have any columns beside doc_id and text, but for names
+that begin with two underscores, which are the stages' own. Stage tables are left in the shared folder.
 """
 
 from __future__ import annotations
