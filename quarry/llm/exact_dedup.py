@@ -54,8 +54,9 @@ def _merge(t: pa.Table, keep: str) -> pa.Table:
     ids = (np.maximum if keep == "largest" else np.minimum).reduceat(np.where(none, least, ids), at)
     none = np.logical_and.reduceat(none, at)
     out = t.take(pa.array(at))
-    out = out.set_column(4, "keep_id", pa.array(ids, pa.int64(), mask=none))
-    return out.set_column(5, "group_size", pa.array(np.add.reduceat(t["group_size"].to_numpy(), at), pa.int64()))
+    # the fields stay as they are, "not null" included: what a batch leaves over is joined to the next one
+    out = out.set_column(4, t.field("keep_id"), pa.array(ids, pa.int64(), mask=none))
+    return out.set_column(5, t.field("group_size"), pa.array(np.add.reduceat(t["group_size"].to_numpy(), at), pa.int64()))
 
 
 def _merger(keep: str):

@@ -50,3 +50,25 @@ def test_oracle(spark, sf):
     from tests.oracle import assert_same, duck
 
     assert assert_same(QUERIES["op1_exact_dedup"](spark, sf), duck(sf), ORACLE_SQL["op1_exact_dedup"]) == 200
+
+
+@pytest.fixture
+def small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_partitions_of_many_batches(spark, small_batches, keep):
+    rows = CASES + [(100 + i, f"t{i % 7}") for i in range(60)]
+    df = spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], SCHEMA).coalesce(1)
+    assert sorted((tuple(r) for r in exact_dedup(df, keep=keep, shards=2, fan_in=2).collect()), key=str) == brute(rows, max if keep == "largest" else min)
+
+
+def test_more_rows_in_a_partition_than_a_batch_holds(spark):
+    # identifiers that can't be null, in three batches of the usual size
+    df = spark.range(0, 25_000, 1, 1).selectExpr("id AS doc_id", "concat('t', id % 9000) AS text")
+    assert sorted(r.doc_id for r in deduplicated(df).collect()) == list(range(16_000, 25_000))

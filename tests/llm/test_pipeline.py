@@ -75,3 +75,14 @@ def test_stages_keep_columns_and_order(spark, folder):
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, some, folder).columns == docs.columns
         assert stage(spark, some.limit(0), folder).collect() == []
+
+
+def test_partitions_of_many_batches(spark, folder):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = lambda: sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in C.run(spark, folder).collect())
+    whole, before = rows(), spark.conf.get(key)
+    spark.conf.set(key, "20")
+    try:
+        assert rows() == whole
+    finally:
+        spark.conf.set(key, before)
