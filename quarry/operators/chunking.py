@@ -269,6 +269,13 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("__k", F.row_number().over(own)).join(n, "file_path").withColumn("chunk_id", F.col("__before") + F.col("__k")).drop("__k", "__before")
 
 
+def _calls_and_definitions(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file_path, name, src) of calls by the last part of the called name, and (file_path, name, dst) of definitions, each row once."""
+    c = chunks.select("file_path", F.col("chunk_id").alias("src"), F.explode("calls").alias("call")).select("file_path", F.substring_index("call", ".", -1).alias("name"), "src")
+    d = chunks.select("file_path", "name", F.col("chunk_id").alias("dst"))
+    return (x.where("file_path is not null and name is not null").distinct() for x in (c, d))
+
+
 def call_edges(chunks: DataFrame) -> DataFrame:
     """(src, dst): calls within a file by the last part of the called name, no chunk to itself."""
     c = chunks.select("file_path", F.col("chunk_id").alias("src"), F.explode("calls").alias("call")).withColumn("name", F.substring_index("call", ".", -1))
@@ -277,9 +284,13 @@ def call_edges(chunks: DataFrame) -> DataFrame:
 
 
 def called_by(chunks: DataFrame) -> DataFrame:
-    e = call_edges(chunks)
-    names = chunks.select(F.col("chunk_id").alias("src"), F.col("name").alias("caller"))
-    return e.join(names, "src").groupBy(F.col("dst").alias("chunk_id")).agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
+    """(chunk_id, called_by): the names of the chunks that call it by call_edges, sorted. Of the callers of a file's name that have
+    one name, the least and the largest id tell whether one of them is another chunk than the called; so no pairs are made."""
+    c, d = _calls_and_definitions(chunks)
+    names = chunks.select(F.col("chunk_id").alias("src"), F.col("name").alias("caller")).distinct()
+    callers = c.join(names, "src").groupBy("file_path", "name", "caller").agg(F.min("src").alias("low"), F.max("src").alias("high"))
+    x = d.join(callers, ["file_path", "name"]).where("low <> dst or high <> dst")
+    return x.groupBy(F.col("dst").alias("chunk_id")).agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
 
 
 #: Semantic roles in order, each with what the name's words have somewhere in them, what the name itself has, and how the
