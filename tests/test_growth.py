@@ -3,6 +3,11 @@
 from quarry.operators import chunking
 
 
+def top_of_plan(df, until: str = "Join") -> str:
+    """The optimised plan from the result down to the first operator of this name."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split(until)[0]
+
+
 CHUNKS = [(i, "f", "a" if i % 2 else "b", ["x.a", "b", "a"]) for i in range(60)] + [(100, "g", "a", ["a"]), (101, None, "a", ["a"]), (102, "f", None, ["a"]), (103, "f", "c", None)]
 
 
@@ -14,6 +19,17 @@ def brute(rows) -> set:
     return {(a, b) for a, f, _, calls in rows for b, g, name, _ in rows if f and f == g and a != b and name in [c.split(".")[-1] for c in calls or []]}
 
 
+def test_call_edges_make_each_pair_once_and_sort_none(spark):
+    e = chunking.call_edges(chunks(spark), block=7)
+    got = [tuple(r) for r in e.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(CHUNKS)
+    assert "Aggregate" not in top_of_plan(e)
+    # ids that stand for two names or files
+    twice = [*CHUNKS, (3, "f", "b", ["c"]), (3, "g", "a", ["a"])]
+    got = [tuple(r) for r in chunking.call_edges(chunks(spark, twice), block=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(twice)
+
+
 def test_called_by_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(chunking, "call_edges", None)
     name = {i: n for i, _, n, _ in CHUNKS}
