@@ -1,6 +1,8 @@
 """Steps whose rows, bytes or memory once grew faster than the input."""
 
-from quarry.operators import chunking
+import math
+
+from quarry.operators import chunking, store
 
 
 def top_of_plan(df, until: str = "Join") -> str:
@@ -38,3 +40,18 @@ def test_called_by_makes_no_pairs(spark, monkeypatch):
         want.setdefault(b, set()).add(name[a])
     got = {r.chunk_id: r.called_by for r in chunking.called_by(chunks(spark)).collect()}
     assert got == {b: sorted(n for n in names if n) for b, names in want.items()}
+
+
+def test_a_cache_meets_its_queries_in_batches(spark):
+    nan = float("nan")
+    cached = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [None, 1.0])]
+    asked = [(2, [3.0, 0.0]), (3, [0.1, 1.0]), (8, None), (9, [0.0, 0.0]), (10, [0.0, 5.0, 0.0]), (11, [1.0]), (12, [nan, 1.0]), (13, [1.0, None]), (14, [-1.0, -1.0])]
+    c = spark.createDataFrame([(*r, "s") for r in cached], "cached_id long, vector array<double>, stamp string")
+    q = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    found = store.semantic_cache(c, q, "s", 0.5, others=True)
+    got = {r.query_id: (r.cached_id, r.similarity) for r in found.collect()}
+    assert math.isnan(got.pop(12)[1]) and got == {2: (1, 1.0)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # nought is near enough here: the least number of those at nought, for vectors of no length or of other sizes
+    low = {r.query_id: (r.cached_id, r.similarity) for r in store.semantic_cache(c, q, "s", 0.0, others=True).collect()}
+    assert low[8] == low[9] == low[11] == low[13] == (1, 0.0) and low[10] == (1, 0.0) and low[3] == (1, round(0.1 / math.sqrt(1.01), 9))
