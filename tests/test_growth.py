@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from quarry import queries
-from quarry.operators import channels, chunking, metrics, store
+from quarry.operators import channels, chunking, metrics, store, textindex
 
 
 def top_of_plan(df, until: str = "Join") -> str:
@@ -147,3 +147,19 @@ def test_relevance_by_label_makes_no_pairs(spark, sf):
     gold = spark.createDataFrame([(i, j) for i, a in q for j, b in items if a is not None and a == b], "query_id long, item long")
     rows = lambda df: sorted(map(tuple, df.select("query_id", "item", "rank", "rel", "n_rel").collect()))
     assert rows(one) == rows(metrics.relevance(ranked, gold))
+
+
+def test_best_of_bm25_makes_no_row_for_a_query_and_a_chunk(spark):
+    texts = [(i, " ".join(["the", f"w{i % 5}", f"w{i % 3}"] + ["pad"] * (i % 4)), f"a/w{i % 7}.py") for i in range(300)]
+    c = spark.createDataFrame(texts, "chunk_id long, content string, file_path string")
+    q = spark.createDataFrame([(1, "the w1"), (2, "w2 w2 w4"), (3, "the pad w0 w1"), (4, "none"), (5, "pad")], "query_id long, query string")
+    index = textindex.passing(c, ["content", "file_path"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    rows = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 8)) for r in df.collect())
+    for fields in ({"content": 1.0}, {"content": 1.0, "file_path": 2.0}):
+        all_ = index.bm25(q, fields).selectExpr("query_id", "chunk_id", "round(score, 9) AS score")
+        want = rows(channels.top_k(all_, 13))
+        assert rows(index.best(q, 13, fields)) == want
+        assert rows(index.best(q, 13, fields, most_queries=2)) == want and rows(index.best(q, 13, fields, most_terms=1)) == want
+    assert "Aggregate" not in index.best(q, 13)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
