@@ -111,22 +111,35 @@ def communities(centrality: DataFrame, calls: DataFrame, seeds: int = 200, most:
     return components(nodes, near).groupBy("component").agg(F.count("*").alias("size")).where("size > 1").orderBy(F.desc("size"), "component").limit(most)
 
 
+def parts(df: DataFrame, key: str, rows: int, each: int = 1_000_000) -> DataFrame:
+    """df dealt by a key over so many partitions that ``rows`` rows are about ``each`` in one, whatever the session's number of partitions."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)), key)
+
+
 def walk(symbols: DataFrame, edges: DataFrame, each: int = 20) -> DataFrame:
-    """For targets (symbol, chunk_id): callers (not itself), callees, type references and hierarchy, at most ``each`` of a relation."""
+    """For targets (symbol, chunk_id): callers (not itself), callees, type references and hierarchy, at most ``each`` of a relation.
+
+    Repeated neighbours share a rank, so those beyond the limit go before anything is gathered by symbol, and what a task holds
+    is a share of the edges that doesn't grow with them."""
+    n = edges.count()
     t = symbols.select("symbol", F.col("chunk_id").alias("t"))
-    out = edges.join(t, edges["src"] == t["t"]).select("symbol", F.when(F.col("kind") == "call", "callee").otherwise(F.col("kind")).alias("relation"), F.col("dst").alias("chunk_id"))
-    back = edges.join(t, edges["dst"] == t["t"]).where("kind <> 'call' or src <> t").select("symbol", F.when(F.col("kind") == "call", "caller").otherwise(F.col("kind")).alias("relation"), F.col("src").alias("chunk_id"))
+    a, b = (parts(edges.withColumn("t", F.col(c)), "t", n).join(parts(t, "t", n), "t") for c in ("src", "dst"))
+    out = a.select("symbol", F.when(F.col("kind") == "call", "callee").otherwise(F.col("kind")).alias("relation"), F.col("dst").alias("chunk_id"))
+    back = b.where("kind <> 'call' or src <> t").select("symbol", F.when(F.col("kind") == "call", "caller").otherwise(F.col("kind")).alias("relation"), F.col("src").alias("chunk_id"))
     w = Window.partitionBy("symbol", "relation").orderBy("chunk_id")
-    return out.unionByName(back).distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= each)
+    return out.unionByName(back).withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= each).distinct()
 
 
 def callers(symbols: DataFrame, calls: DataFrame, depth: int = 1) -> DataFrame:
-    """(symbol, chunk_id, depth): chunks that call the target, and at depth 2 those that call these."""
+    """(symbol, chunk_id, depth): chunks that call the target, and at depth 2 those that call these. A step is dealt by as many rows as
+    there are calls, and written once where another follows."""
     found = symbols.select("symbol", "chunk_id", F.lit(0).alias("depth"))
-    last = found
+    last, n = found, calls.count()
     for d in range(1, depth + 1):
-        step = calls.join(last.select("symbol", F.col("chunk_id").alias("dst")), "dst").select("symbol", F.col("src").alias("chunk_id")).distinct()
-        last = step.join(found, ["symbol", "chunk_id"], "left_anti").withColumn("depth", F.lit(d))
+        step = parts(calls.select("dst", "src"), "dst", n).join(parts(last.select("symbol", F.col("chunk_id").alias("dst")), "dst", n), "dst").select("symbol", F.col("src").alias("chunk_id"))
+        step = parts(step, "symbol", n).distinct()
+        last = step.join(parts(found, "symbol", n), ["symbol", "chunk_id"], "left_anti").withColumn("depth", F.lit(d))
+        last = cut(last) if d < depth else last
         found = found.unionByName(last)
     return found.where("depth > 0")
 

@@ -5,7 +5,8 @@ import math
 import numpy as np
 
 from quarry import queries
-from quarry.operators import channels, chunking, metrics, store, textindex
+from quarry.functions import text as T
+from quarry.operators import channels, chunking, graph, metrics, store, textindex
 
 
 def top_of_plan(df, until: str = "Join") -> str:
@@ -163,3 +164,21 @@ def test_best_of_bm25_makes_no_row_for_a_query_and_a_chunk(spark):
         assert rows(index.best(q, 13, fields, most_queries=2)) == want and rows(index.best(q, 13, fields, most_terms=1)) == want
     assert "Aggregate" not in index.best(q, 13)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_first_sentences_read_a_text_once(spark):
+    texts = ["A. B! C? D.", "a\nb. c", "no mark", "", None, "...", "  x. y"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, q string").select("i", T.first_sentences("q", 3).alias("s"))
+    assert [r.s for r in df.orderBy("i").collect()] == ["A. B! C?", "a\nb.", "", "", None, "...", "x."]
+    assert "extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_graph_steps_are_dealt_by_their_rows(spark):
+    assert graph.parts(spark.range(10), "id", 3_000_000, each=1000).rdd.getNumPartitions() == 3000
+    symbols = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "symbol string, chunk_id long")
+    edges = spark.createDataFrame([(1, i % 40, "call") for i in range(90)] + [(i, 3, "call") for i in range(30)] + [(2, 0, "call"), (3, 3, "call")], "src long, dst long, kind string")
+    w = graph.walk(symbols, edges, 5)
+    got = {(r.symbol, r.relation, r.chunk_id, r["rank"]) for r in w.collect()}
+    assert got == {("a", "callee", i, i + 1) for i in range(5)} | {("a", "caller", 1, 1)} | {("b", "caller", i + (i > 2), i + 1) for i in range(5)} | {("b", "callee", 3, 1)}
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Window")[-1]
